@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality_rules
+from . import langid, packing, quality_rules, topk
 
-_MODULES = (langid, quality_rules, packing)
+_MODULES = (langid, quality_rules, packing, topk)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
