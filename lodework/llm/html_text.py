@@ -37,13 +37,12 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th
 SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 ENDS_P = BLOCK - {"html", "body", "head", "caption", "button", "legend", "tbody", "td", "th", "tr", "thead", "tfoot", "li", "dd", "dt"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-UNREMARKS = frozenset("comment comments reply replies ad advert sponsored teaser related".split())
-LIKELY = frozenset(
+REMARKS = frozenset("comment comments reply replies ad advert sponsored teaser related".split())
+UNLIKELY = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social sidebar aside rail menu nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar comment comments disqus respond "
     "discussion replies reply related recommended recommendations outbrain taboola widget widgets skip search copyright legal disclaimer feedback hidden teaser teasers trending".split()
 )
-REMARKS = frozenset("comment comments reply replies ad advert sponsored teaser related".split())
 LIKELY = frozenset("article body content entry hentry main page post text blog story prose".split())
 
 _TOKEN = re.compile(
