@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, packing, quality_rules, topk
+from . import chat, html_text, langid, packing, quality_rules, topk
 
-_MODULES = (langid, html_text, quality_rules, packing, topk)
+_MODULES = (chat, langid, html_text, quality_rules, packing, topk)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
