@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +64,23 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         delete(self.spark, df._scratch)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: object) -> Iterator[None]:
+    """SQL settings for the actions inside; dots are written as double underscores."""
+    names = {k.replace("__", "."): str(v) for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what no plan refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
