@@ -1 +1 @@
-"""lodework: Spark-native analytics over packed archives."""
+"""Scalar functions of the archive engine, as Column expressions."""

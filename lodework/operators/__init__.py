@@ -1 +1 @@
-"""lodework: Spark-native analytics over packed archives."""
+"""Relational operators of the archive index, each a function of DataFrames."""
