@@ -18,6 +18,5 @@ def local_session(app: str = "lodework", cpus: str | None = None, partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
