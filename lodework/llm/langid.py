@@ -55,10 +55,12 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each n-gram, text of each n-gram) over all texts. Anything but a letter is a blank; an n-gram
     begins at a letter or at the blank before one, and never reaches into the next text."""
     pad = " " * max(ORDERS)
-    joined = pad.join([*texts, ""]).lower()
+    joined = ("".join([pad + t for t in texts]) + pad).lower()
     lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    # the blank before a text's first letter is its own, so the padding goes before it
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + len(pad))
+    owner = np.r_[owner, np.full(len(pad), len(texts) - 1, np.int32)]
     letter = _is_letter()[chars]
     code = np.where(letter, chars, np.uint32(32))
     starts = letter.copy()
