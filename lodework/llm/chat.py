@@ -91,11 +91,9 @@ def choose_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     levels = [jump]
     while jump.where("up IS NOT NULL").limit(1).count() and (1 << (len(levels) - 1)) <= total:
         to = jump.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("also"))
-        jump = scratch.write(
-            jump.join(to, ["conv", "up"], "left").select(
-                "conv", "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("also", F.lit(0.0))).alias("score")
-            )
-        )
+        # Nodes that have reached their root wait aside, so short trees cost no join while long ones go on.
+        moved = jump.where("up IS NOT NULL").join(to, ["conv", "up"]).select("conv", "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("also")).alias("score"))
+        jump = scratch.write(jump.where("up IS NULL").unionByName(moved))
         levels.append(jump)
     parents = base.where("parent IS NOT NULL").select("conv", F.col("parent").alias("node"))
     leaves = jump.where("up IS NULL").join(parents, ["conv", "node"], "left_anti")
