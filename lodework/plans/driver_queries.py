@@ -174,11 +174,15 @@ def argmax_first(spark, sf):
 SELECT l.l_suppkey, med, sum(CASE WHEN l_quantity > 1.8 * med THEN med ELSE l_quantity END) AS clamped FROM lineitem l JOIN m USING (l_suppkey) GROUP BY 1, 2"""
 )
 def upper_median_clamp(spark, sf):
-    # The clamp runs over the group's own array, so the rows move once and aren't joined back.
-    v = F.array_sort(F.collect_list("l_quantity"))
-    g = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(v.alias("v")).withColumn("med", F.get("v", F.floor(F.size("v") / 2).cast("int")))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.when(x > 1.8 * F.col("med"), F.col("med")).otherwise(x))
-    return g.select("l_suppkey", "med", total.alias("clamped"))
+    # Counts by value are combined before the shuffle, so a group's rows never meet in one list: the median is where the
+    # running count passes half, over the distinct values.
+    by = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("l_suppkey")
+    ranked = by.withColumn("upto", F.sum("k").over(w.orderBy("l_quantity"))).withColumn("n", F.sum("k").over(w))
+    held = F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("l_quantity"))
+    med = ranked.withColumn("med", F.min(held).over(w))
+    clamped = F.when(F.col("l_quantity") > 1.8 * F.col("med"), F.col("med")).otherwise(F.col("l_quantity")) * F.col("k")
+    return med.groupBy("l_suppkey", "med").agg(F.sum(clamped).alias("clamped"))
 
 
 @query(
@@ -306,3 +310,80 @@ def chunk_labels(spark, sf):
 def printable_score(spark, sf):
     d = t(spark, sf, "documents").where(F.length("text") > 0)
     return d.select("doc_id", F.round(C.printable_share(F.substring("text", 1, 4096)), 6).alias("share"))
+
+
+@query(
+    """WITH b AS (SELECT p_size AS token, max(p_partkey) AS bone FROM part WHERE p_size % 3 <> 0 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(bone, -1) AS bone FROM lineitem LEFT JOIN b ON token = l_quantity::INTEGER"""
+)
+def bind_last(spark, sf):
+    """A binding's token to the last bone that has it, -1 where none has."""
+    bones = R.last_wins(t(spark, sf, "part").where("p_size % 3 <> 0").withColumnRenamed("p_size", "token"), "token", "p_partkey", "p_partkey", "bone")
+    line = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("token"))
+    return line.join(bones, "token", "left").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("bone", F.lit(-1)).alias("bone"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey * 10 < 500 + 300 AND l_orderkey * 10 + l_linenumber > 500")
+def byte_range(spark, sf):
+    """Rows whose [start, start + length) meets a range."""
+    start, end = F.col("l_orderkey") * 10, F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return t(spark, sf, "lineitem").where((start < 800) & (end > 500)).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(
+    """SELECT user_id, string_agg(ref::VARCHAR, ',' ORDER BY first) AS refs FROM (
+SELECT user_id, event_id % 97 AS ref, min(event_id) AS first FROM events WHERE event_id % 97 > 4 AND event_id % 97 < 60 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY first) <= 5) GROUP BY 1"""
+)
+def reference_list(spark, sf):
+    """References in a range, each once in the order first seen, five at most."""
+    e = t(spark, sf, "events").select("user_id", (F.col("event_id") % 97).alias("ref"), "event_id").where("ref > 4 AND ref < 60")
+    seen = e.groupBy("user_id", "ref").agg(F.min("event_id").alias("first"))
+    few = seen.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("first"))).where("r <= 5")
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("first", "ref"))), lambda x: x["ref"].cast("string"))
+    return few.groupBy("user_id").agg(F.array_join(refs, ",").alias("refs"))
+
+
+@query(
+    """WITH v AS (SELECT unnest([l_orderkey % 50, l_partkey % 50, l_suppkey % 50]) AS vertex, l_quantity AS nx, l_linenumber AS ny FROM lineitem)
+SELECT vertex, sum(nx) AS nx, sum(ny)::BIGINT AS ny FROM v GROUP BY 1"""
+)
+def vertex_normals(spark, sf):
+    """Face vectors summed at each face's three corners; partial sums combine before the shuffle."""
+    line = t(spark, sf, "lineitem")
+    corners = F.explode(F.array(*[F.col(c) % 50 for c in ("l_orderkey", "l_partkey", "l_suppkey")]))
+    return line.select(corners.alias("vertex"), "l_quantity", "l_linenumber").groupBy("vertex").agg(F.sum("l_quantity").alias("nx"), F.sum("l_linenumber").cast("long").alias("ny"))
+
+
+@query(
+    """SELECT c.c_custkey, coalesce(o.n, 0) AS n_files, coalesce(p.p_name, '') AS name FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey
+LEFT JOIN part p ON p_partkey = c_custkey - 1"""
+)
+def display_join(spark, sf):
+    """A list by id with what stands at index id - 1 and with counts, empty where there is nothing."""
+    n = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    p = t(spark, sf, "part").select((F.col("p_partkey") + 1).alias("c_custkey"), "p_name")
+    c = t(spark, sf, "customer").select("c_custkey").join(n, "c_custkey", "left").join(p, "c_custkey", "left")
+    return c.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_files"), F.coalesce("p_name", F.lit("")).alias("name"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey > 5 ORDER BY coalesce(n_nationkey, 0) DESC, s_suppkey LIMIT 40")
+def column_sort(spark, sf):
+    """Sorted by a column that may be missing, which counts as 0, ties by id."""
+    n = t(spark, sf, "nation").where("n_nationkey > 5").select(F.col("n_nationkey").alias("s_nationkey"), F.lit(1).alias("known"))
+    j = t(spark, sf, "supplier").join(n, "s_nationkey", "left")
+    return j.orderBy(F.desc(F.when(F.col("known") == 1, F.col("s_nationkey")).otherwise(0)), "s_suppkey").limit(40).select("s_suppkey", "s_name")
+
+
+@query("SELECT p_partkey, p_brand, d.n AS parts FROM part JOIN (SELECT p_brand AS b, count(*) AS n FROM part GROUP BY 1) d ON b = p_brand WHERE p_size = 7")
+def placements(spark, sf):
+    """Placements joined to their model, which is made once for each distinct one."""
+    p = t(spark, sf, "part")
+    return p.where("p_size = 7").select("p_partkey", "p_brand").join(p.groupBy("p_brand").agg(F.count("*").alias("parts")), "p_brand")
+
+
+@query("SELECT page_id, instr(html, '<article>') - 1 AS at, length(html) AS n FROM pages WHERE length(html) >= 2000 AND page_id % 3 = 1 AND contains(html, '<article>') ORDER BY page_id LIMIT 20")
+def content_scan(spark, sf):
+    """A scan of contents: the size first, then each third row, then a search for bytes."""
+    p = R.step_scan(t(spark, sf, "pages").where(F.length("html") >= 2000), "page_id", 3, 1)
+    hits = p.select("page_id", (F.locate("<article>", F.col("html")) - 1).alias("at"), F.length("html").alias("n")).where("at >= 0")
+    return R.page(hits, ["page_id"], 20)
