@@ -61,6 +61,8 @@ def test_textures():
     assert (M.decode_blocks("DXT5", alpha, 4, 4) == [255, 0, 0, 200]).all()
     flat = bytes([128, 127]) + bytes(6)
     assert (M.decode_blocks("3DCX", flat * 2, 4, 4)[..., 2] >= 254).all()
+    assert (M.decode_blocks("3DCX", (bytes([255, 0]) + bytes(6)) * 2, 4, 4)[..., 2] == 128).all()
+    assert (M.decode_blocks("DXTA", red, 4, 4) == 255).all()
     with pytest.raises(ValueError):
         M.decode_blocks("XXXX", b"", 4, 4)
     raw = M.png(np.zeros((2, 3, 4), np.uint8))
