@@ -37,6 +37,7 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th
 SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 ENDS_P = BLOCK - {"html", "body", "head", "caption", "button", "legend", "tbody", "td", "th", "tr", "thead", "tfoot", "li", "dd", "dt"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+STEMS = ("advert", "adsby", "sponsor", "cookie", "sidebar", "breadcrumb", "newsletter", "navbar", "comment", "disqus", "pagination")
 REMARKS = frozenset("comment comments reply replies ad advert sponsored teaser related".split())
 UNLIKELY = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -122,7 +123,7 @@ class Page:
         if got.get("role", "").lower() in ROLES:
             return "class", 0
         names = {x.lower() for x in _NAMES.findall(f"{got.get('class', '')} {got.get('id', '')}")}
-        return "remark" if names & REMARKS else "class" if names & UNLIKELY else "", 25 * bool(names & LIKELY)
+        return "remark" if names & REMARKS else "class" if names & UNLIKELY or any(n.startswith(STEMS) for n in names) else "", 25 * bool(names & LIKELY)
 
     def _node(self, name: str, attrs: str, parent: int) -> int:
         why, weight = self._judge(name, attrs) if attrs else ("", 0)
