@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import index_kind
 from ..functions.inflate import BadStream, inflate, strip_checksums
 from ..functions.packfile import chunks, variant
-from ..sources.archive import Slices, read_archive
+from ..sources.archive import Slices, open_catalog, read_archive
 from .relational import changed, fingerprint
 
 DONE = (
@@ -77,10 +77,19 @@ def decode_entries(mft: DataFrame, path: str, registry: dict) -> DataFrame:
     return mft.mapInArrow(run, DONE)
 
 
-def deal_by_bytes(mft: DataFrame, target: int = 128 << 20) -> DataFrame:
-    """mft in partitions of about `target` bytes, by place in the archive."""
-    total = mft.agg(F.sum("size")).first()[0] or 0
-    return mft.repartitionByRange(max(1, -(-total // target)), "offset").sortWithinPartitions("offset")
+def deal_by_bytes(mft: DataFrame, total: int, target: int = 128 << 20) -> DataFrame:
+    """mft in partitions of about `target` bytes, by place in the archive. total: an upper bound of its bytes, which the
+    file's size gives without a pass."""
+    parts = -(-total // target)
+    dealt = mft.repartitionByRange(parts, "offset") if parts > 1 else mft.coalesce(1)
+    return dealt.sortWithinPartitions("offset")
+
+
+def clustered(df: DataFrame, rows: int, by: list[str], target: int = 200_000) -> DataFrame:
+    """df sorted by these columns, in files of about `target` rows, so that a scan's filters skip row groups."""
+    parts = -(-rows // target)
+    dealt = df.repartitionByRange(parts, *by) if parts > 1 else df.coalesce(1)
+    return dealt.sortWithinPartitions(*by)
 
 
 def current(index: str) -> str | None:
@@ -107,12 +116,14 @@ def build_index(spark: SparkSession, archive: str, index: str, registry: dict |
         todo = changed(mft, before, "base_id", "fingerprint")
     if old:
         kept = spark.read.parquet(f"{old}/entries")
+    if old and not full and not reconcile and todo.isEmpty():
+        return {"processed": 0, "entries": (n := kept.count()), "skipped": n}
     per_entry = ids.groupBy("base_id").agg(F.array_sort(F.collect_list("file_id")).alias("file_ids"))
     os.makedirs(index, exist_ok=True)
     snapshot = f"snapshot={uuid.uuid4().hex[:12]}"
     where = os.path.join(index, snapshot)
     # Decoded once, into the snapshot's own folder; the tables are cut from that.
-    decode_entries(deal_by_bytes(todo.join(per_entry, "base_id", "left")), archive, registry).write.parquet(f"{where}/decoded")
+    decode_entries(deal_by_bytes(todo.join(per_entry, "base_id", "left"), os.path.getsize(archive)), archive, registry).write.parquet(f"{where}/decoded")
     done = spark.read.parquet(f"{where}/decoded")
     entries, chunk_rows = done.select(*ENTRY_COLUMNS), done.select("base_id", F.explode("chunks").alias("c")).select("base_id", "c.*")
     id_rows = done.select(F.explode("file_ids").alias("file_id"), "base_id")
@@ -125,10 +136,11 @@ def build_index(spark: SparkSession, archive: str, index: str, registry: dict |
         id_rows = id_rows.unionByName(spark.read.parquet(f"{old}/file_ids").join(stays.select("base_id"), "base_id", "left_semi"))
         if reconcile:
             id_rows = ids.join(entries.select("base_id"), "base_id", "left_semi").select("file_id", "base_id")
-    entries.repartitionByRange(F.col("type"), F.col("container"), F.col("base_id")).sortWithinPartitions("type", "container", "base_id").write.parquet(f"{where}/entries")
-    chunk_rows.repartitionByRange(F.col("fourcc"), F.col("base_id")).sortWithinPartitions("fourcc", "base_id", "seq").write.parquet(f"{where}/chunks")
+    rows = open_catalog(archive)[2]
+    clustered(entries, rows, ["type", "container", "base_id"]).write.parquet(f"{where}/entries")
+    clustered(chunk_rows, 4 * rows, ["fourcc", "base_id", "seq"]).write.parquet(f"{where}/chunks")
     id_rows.groupBy("file_id").agg(F.min("base_id").alias("base_id")).write.parquet(f"{where}/file_ids")
-    meta = [("dat_path", archive), ("dat_size", str(os.path.getsize(archive))), ("mft_entries", str(mft.count()))]
+    meta = [("dat_path", archive), ("dat_size", str(os.path.getsize(archive))), ("mft_entries", str(rows))]
     spark.createDataFrame(meta, "key string, value string").coalesce(1).write.parquet(f"{where}/meta")
     counts = {"processed": done.count(), "entries": spark.read.parquet(f"{where}/entries").count()}
     counts["skipped"] = counts["entries"] - counts["processed"]
