@@ -4,10 +4,10 @@ Every text's set of word shingles is hashed by many universal hash functions, wh
 Texts with equal sets are one class, whose smallest id stands for it from there on. Bands of the signature are
 bucket keys. In each bucket every class is compared with the bucket's smallest; candidates are verified first on
 signatures and then on the full sets, and connected components (large-star and small-star) join what is linked.
-A bucket that still holds several components then has all its pairs across components compared, in blocks: those
-of its largest component stay where they are, and only the others are sent to each block. So a group of
-thousands of copies costs a row a member and band rather than all its pairs, and no link between buckets' members
-is lost.
+A bucket that still holds several components then has its pairs across components compared in blocks, on sketches
+and then on full sets: those of its largest component stay where they are, and only the others are sent to each
+block. Only links leave a block. So a group of thousands of copies costs a few rows a member and band rather than
+all its pairs, and no link between a bucket's members is lost.
 
 With ROWS rows in each of BANDS bands, a pair at similarity 0.8 shares no bucket with a probability of 7e-6.
 
@@ -146,48 +146,128 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return near.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _across(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (u, v) with near sketches in different components of one bucket.
+class _Block:
+    """A bucket's part: the rows at home there, which come first, and then the visitors that are compared with them.
 
-    rows: band, doc_id, component, sketch, part (a block of the bucket), stays (whether the row is of the bucket's
-    largest component). Rows come sorted by (band, part); a row that doesn't stay has come to every part."""
-    least = sketch_floor(percent)
+    A home row of another than the bucket's largest component is a visitor of its own part, too."""
 
-    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, comps = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-        own = np.array([g[4] for g in group])  # whether this part is the row's own
-        m = np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(-1, SKETCH)
-        for i in np.flatnonzero([not g[3] for g in group]):
-            other = np.flatnonzero(own & (comps != comps[i]) & ((ids > ids[i]) | np.array([g[3] for g in group])))
-            for a in range(0, len(other), 8192):
-                at = other[a : a + 8192]
-                for j in at[(m[at] == m[i]).sum(axis=1) >= least]:
-                    yield max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))
+    def __init__(self) -> None:
+        self.home: list[tuple] = []
+        self.ready = False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, found = None, [], set()
-        for batch in batches:
-            for band, part, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (band, part) != key:
-                    found.update(pairs(group)) if len(group) > 1 else None
-                    key, group = (band, part), []
-                    if len(found) > 100_000:
-                        yield _pairs_batch(found)
-                        found = set()
-                group.append(tuple(row))
-        found.update(pairs(group)) if len(group) > 1 else None
-        yield _pairs_batch(found)
+    def take(self, row: tuple) -> Iterator[tuple]:
+        if row[3]:
+            self.home.append(row)
+            return
+        yield from self.begin()
+        yield from self.visit(row)
+
+    def begin(self) -> Iterator[tuple]:
+        if not self.ready:
+            self.ready = True
+            self.index()
+            for row in self.home:
+                if not row[2]:
+                    yield from self.visit(row)
+
+    def end(self) -> Iterator[tuple]:
+        yield from self.begin()
+
+    def index(self) -> None:
+        raise NotImplementedError
+
+    def visit(self, row: tuple) -> Iterator[tuple]:
+        raise NotImplementedError
+
+
+class _NearRows(_Block):
+    """Rows (doc_id, component, stays, own, sketch): gives those with a near sketch in another component."""
+
+    least = 1
 
-    dealt = rows.repartition("band", "part").sortWithinPartitions("band", "part")
-    return dealt.select("band", "part", "doc_id", "component", "sketch", "stays", "own").mapInArrow(run, "u long, v long").distinct()
+    def index(self) -> None:
+        self.sketches = np.frombuffer(b"".join(r[4] for r in self.home), np.uint8).reshape(-1, SKETCH)
+        self.comps = np.array([r[1] for r in self.home], np.int64)
+        self.marked = np.zeros(len(self.home), bool)
 
+    def visit(self, row: tuple) -> Iterator[tuple]:
+        mine = np.frombuffer(row[4], np.uint8)
+        other = np.flatnonzero(self.comps != row[1])
+        near = other[(self.sketches[other] == mine).sum(axis=1) >= self.least]
+        self.marked[near] = True
+        if len(near) and not row[3]:
+            yield row[:4]
 
-def _pairs_batch(found: set) -> pa.RecordBatch:
-    got = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["u", "v"])
+    def end(self) -> Iterator[tuple]:
+        yield from self.begin()
+        for k in np.flatnonzero(self.marked):
+            yield self.home[k][:4]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+class _LinkedRows(_Block):
+    """Rows (doc_id, component, stays, own, text): gives pairs that link components, once for each two that meet. All
+    sets at home are in one inverted index, so a visitor is compared with all of them at once."""
+
+    shingle, percent = 1, 80
+
+    def index(self) -> None:
+        sets = [shingles(r[4], self.shingle) for r in self.home]
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        both = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(both, kind="stable")
+        self.grams, self.owner = both[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.root: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        while (up := self.root.get(c, c)) != c:
+            c = up
+        return c
+
+    def visit(self, row: tuple) -> Iterator[tuple]:
+        mine = shingles(row[4], self.shingle)
+        lo, hi = np.searchsorted(self.grams, mine, "left"), np.searchsorted(self.grams, mine, "right")
+        count = hi - lo
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        inter = np.bincount(self.owner[at], minlength=len(self.home))
+        for k in np.flatnonzero((inter > 0) & (100 * inter >= self.percent * (len(mine) + self.sizes - inter))):
+            doc, comp = self.home[k][:2]
+            if (x := self.find(row[1])) != (y := self.find(comp)):
+                self.root[max(x, y)] = min(x, y)
+                yield max(row[0], doc), min(row[0], doc)
+
+
+def _in_blocks(rows: DataFrame, kind: type, what: str, out: str, keyed: bool, **settings: int) -> DataFrame:
+    """Runs a kind of block over rows: band, part, doc_id, component, stays, own, and `what`."""
+    names = [c.split(" ")[0] for c in out.split(", ")]
+
+    def batch_of(got: list[tuple]) -> pa.RecordBatch:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        cols = list(zip(*got, strict=True)) if got else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[o.split(" ")[1]]) for c, o in zip(cols, out.split(", "), strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, got = None, None, []
+        for batch in batches:
+            for band, part, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (band, part) != key:
+                    if block:
+                        got += [(*key, *r) if keyed else r for r in block.end()]
+                    key, block = (band, part), kind()
+                    for k, v in settings.items():
+                        setattr(block, k, v)
+                got += [(*key, *r) if keyed else r for r in block.take(tuple(row))]
+                if len(got) > 10_000:
+                    yield batch_of(got)
+                    got = []
+        if block:
+            got += [(*key, *r) if keyed else r for r in block.end()]
+        yield batch_of(got)
+
+    dealt = rows.repartition("band", "part").sortWithinPartitions("band", "part", F.desc("own"))
+    return dealt.select("band", "part", "doc_id", "component", "stays", "own", what).mapInArrow(run, out)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 8192, grams: int = 1 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (whether that is its own)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -197,26 +277,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     reps = sound.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     own = scratch.write(sound.join(reps, "cls").select("doc_id", "rep"))
     only = own.where("doc_id = rep").select("doc_id").distinct()
-    chosen = scratch.write(signed.join(only, "doc_id").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]))
+    chosen = scratch.write(signed.join(only, "doc_id").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]))
     sketches = chosen.select("doc_id", "sketch")
-    bands = chosen.select(F.explode("bands").alias("band"), "doc_id")
+    bands = chosen.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     buckets = scratch.write(bands.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1"))
-    members = scratch.write(bands.join(buckets, "band").select("band", "doc_id", "least", "many"))
+    members = scratch.write(bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "least", "many"))
     stars = scratch.write(members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct())
     near = scratch.write(_near(stars, sketches, percent))
     links = scratch.write(_linked(near, docs, shingle, percent))
     comps = scratch.write(components(links, scratch))
     # Buckets of three and more that still hold several components: what the comparison with the smallest has left open.
     several = members.where("many > 2").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = several.groupBy("band", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("comps"), F.sum("n").alias("all")).where("comps > 1")
-    parts = F.ceil(F.col("all") / block).cast("int")
-    placed = several.join(largest, "band").withColumn("stays", F.col("component") == F.col("main")).withColumn("home", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    sizes = several.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("comps"), F.sum("n").alias("rows"), F.sum("grams").alias("grams")).where("comps > 1")
+    parts = F.ceil(F.greatest(F.col("rows") / block, F.col("grams") / grams)).cast("int")
+    placed = several.join(largest.drop("comps"), "band").withColumn("stays", F.col("component") == F.col("main")).withColumn("home", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
     sent = placed.withColumn("part", F.explode(F.when(F.col("stays"), F.array("home")).otherwise(F.sequence(F.lit(0), parts - 1)))).withColumn("own", F.col("part") == F.col("home"))
-    rows = sent.join(sketches, "doc_id").select("band", "part", "doc_id", "component", "sketch", "stays", "own")
-    open_pairs = scratch.write(_across(rows, percent, block).join(stars, ["u", "v"], "left_anti"))
-    if open_pairs.limit(1).count():
-        more = scratch.write(_linked(open_pairs, docs, shingle, percent))
+    rows = sent.join(sketches, "doc_id").select("band", "part", "doc_id", "component", "stays", "own", "sketch")
+    keys = "band long, part int, doc_id long, component long, stays boolean, own boolean"
+    open_rows = scratch.write(_in_blocks(rows, _NearRows, "sketch", keys, True, least=sketch_floor(percent)))
+    if open_rows.limit(1).count():
+        texts = open_rows.join(docs, "doc_id").select("band", "part", "doc_id", "component", "stays", "own", "text")
+        more = scratch.write(_in_blocks(texts, _LinkedRows, "text", "u long, v long", False, shingle=shingle, percent=percent))
         if more.limit(1).count():
             comps = scratch.write(components(links.unionAll(more), scratch))
     final = own.join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
