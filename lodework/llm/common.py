@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: [\x20\x09-\x0D], as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,3 +85,23 @@ def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of what no plan refers to any more."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+#: The bit table has so many words of 64 bits at most, whatever goes in: 4 MB.
+WORDS = 1 << 18
+
+
+def bit_table(ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """A bit for each id, by its hash: (word, bits), at most WORDS rows. The table's size has that bound by
+    construction, so it may be broadcast; when it fills up it lets more rows through and never drops a wrong one."""
+    h = F.pmod(F.xxhash64(F.col(column)), F.lit(64 * WORDS))
+    return ids.select((h / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, bits: DataFrame, column: str = "doc_id") -> DataFrame:
+    """rows with `maybe`: false only where the id is surely not in the table. No shuffle of the rows."""
+    h = F.pmod(F.xxhash64(F.col(column)), F.lit(64 * WORDS))
+    keyed = rows.withColumn("_word", (h / 64).cast("int")).withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int")))
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    joined = keyed.join(F.broadcast(bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word", "left")
+    return joined.withColumn("maybe", hit).drop("_word", "_bit", "_bits")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bit_table, maybe_in, table
 from .components import components
 
 BANDS, ROWS = 30, 5
@@ -126,7 +126,8 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of (u, v) whose full sets are similar enough."""
-    texts = docs.select("doc_id", "text")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+    texts = maybe_in(docs.select("doc_id", "text"), bit_table(ids)).where("maybe").drop("maybe")
     near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +298,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     keys = "band long, part int, doc_id long, component long, stays boolean, own boolean"
     open_rows = scratch.write(_in_blocks(rows, _NearRows, "sketch", keys, True, least=sketch_floor(percent)))
     if open_rows.limit(1).count():
-        texts = open_rows.join(docs, "doc_id").select("band", "part", "doc_id", "component", "stays", "own", "text")
+        few = maybe_in(docs, bit_table(open_rows)).where("maybe").drop("maybe")
+        texts = open_rows.join(few, "doc_id").select("band", "part", "doc_id", "component", "stays", "own", "text")
         more = scratch.write(_in_blocks(texts, _LinkedRows, "text", "u long, v long", False, shingle=shingle, percent=percent))
         if more.limit(1).count():
             comps = scratch.write(components(links.unionAll(more), scratch))
