@@ -70,6 +70,42 @@ def test_textures():
     assert M.dds_header(b"DDS " + bytes(80) + b"DXT5" + bytes(60))["format"] == "BC3"
 
 
+def bits(text: str) -> bytes:
+    text = text.replace(" ", "")
+    text += "0" * (-len(text) % 32)
+    return b"".join(int(text[i : i + 32], 2).to_bytes(4, "little") for i in range(0, len(text), 32))
+
+
+def level(flags: int, body: bytes) -> bytes:
+    return struct.pack("<II", 8 + len(body), flags) + body
+
+
+def test_texture_inflate():
+    red, blue = struct.pack("<HHI", 0xF800, 0x001F, 0), struct.pack("<HHI", 0x001F, 0xF800, 7)
+    # two blocks as stored: both endpoints first, then both indices
+    plain = b"ATEXDXT1" + struct.pack("<HH", 8, 4) + level(0, red[:4] + blue[:4] + red[4:] + blue[4:])
+    assert M.texture_surfaces(plain) == [(0, "DXT1", 8, 4, red + blue)]
+    # a run of one that is white, then a run of one that isn't
+    white = b"ATEXDXT1" + struct.pack("<HH", 8, 4) + level(1, bits("1 1 1 0") + red)
+    assert M.texture_surfaces(white)[0][4] == b"\xff" * 8 + red
+    # alpha 200, chosen for a run of one; 0 for the next; colours stored
+    alpha = b"ATEXDXT5" + struct.pack("<HH", 8, 4) + level(4, bits("11001000 1 1 1 1 1 0") + red[:4] + blue[:4] + red[4:] + blue[4:])
+    assert M.texture_surfaces(alpha)[0][4] == bytes([200, 200]) + bytes(6) + red + bytes(8) + blue
+    # one colour over a run of 17 - 15 = 2
+    color = b"ATEXDXT1" + struct.pack("<HH", 8, 4) + level(8, bits(f"{0x4080C0:024b} 00 1111 1"))
+    px = M.decode_blocks("DXT1", M.texture_surfaces(color)[0][4], 8, 4)
+    assert abs(px[..., :3].astype(int) - [0x40, 0x80, 0xC0]).max() <= 2 and (px[..., 3] == 255).all()
+    assert M.texture_surfaces(b"ATEXZZZZ" + bytes(20)) == []
+
+
+@pytest.mark.parametrize("rgb", [(0, 0, 0), (255, 255, 255), (1, 2, 3), (200, 17, 90), (128, 128, 128)])
+def test_constant_color(rgb):
+    for kind in ("DXT1", "DXT5"):
+        block = M.constant_color(*rgb, kind == "DXT1")
+        px = M.decode_blocks(kind, (b"" if kind == "DXT1" else bytes(8)) + block, 4, 4)
+        assert abs(px[0, 0, :3].astype(int) - rgb).max() <= 4 and (px == px[0, 0]).all()
+
+
 def test_text_inputs(spark, tmp_path):
     (tmp_path / "keys.csv").write_text("# c\ntextId,key8_hex\n5,aa\n\n0,bb\n4294967295,cc\ntextId,key8_hex\n5,dd\n6,ee\n")
     assert {tuple(r) for r in texts.key_table(spark, str(tmp_path / "keys.csv")).collect()} == {(5, "dd"), (6, "ee")}
