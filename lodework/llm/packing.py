@@ -6,8 +6,7 @@ demand and remaining capacity goes in, each dimension weighted by its capacity.
 one is cut to what is left and its rest waits on, so a sequence ends full, or at its limit of segments.
 
 Each partition packs its own rows: no shuffle, no text leaves its task, and at most one sequence a partition
-ends short. That last one is cut into pieces of powers of two where such sequences need no padding.
-A sequence's id is the partition's number times 2**33 plus its number there. A lost task packs its own rows
+ends short of its tokens, but for those that end at the limit of segments. A sequence's id is the partition's number times 2**33 plus its number there. A lost task packs its own rows
 again; the pieces of a document never meet another task's.
 
 Nulls and edge cases: a null or empty text is its end token only. Very long texts are cut over many sequences.
@@ -135,7 +134,7 @@ class Packer:
         while len(self.keys) >= self.window:
             self._place()
 
-    def finish(self, powers: bool = True) -> None:
+    def finish(self) -> None:
         while self.keys:
             self._place()
         self._close()
