@@ -220,3 +220,24 @@ def test_half_size(spark):
 
 def test_plain_keeps_stored_bytes_of_false_streams():
     assert plain(stored(b"\xff" * 40), 8)[1:] == (0, 40, "flagged-compressed-but-not")
+
+
+def test_command_line(spark, archive, tmp_path):
+    import json
+
+    from lodework.cli import run
+
+    reg = tmp_path / "reg.json"
+    reg.write_text(json.dumps(REGISTRY))
+    index, out = str(tmp_path / "idx"), str(tmp_path / "out.bin")
+    assert run(spark, ["index", archive, "--out", index, "--registry", str(reg)])["processed"] == 11
+    assert run(spark, ["info", archive])["mft_entries"] == 11
+    assert len(run(spark, ["list", archive, "--limit", "3", "--offset", "9"])["entries"]) == 2
+    assert run(spark, ["extract", archive, "--file-id", "7000", "--out", out])["bytes"] == 36
+    assert run(spark, ["parse", archive, "--base-id", "3", "--registry", str(reg)])["tree"]["children"][1]["name"] == "GEOM v7"
+    assert run(spark, ["texture", archive, "--base-id", "10"])["header"]["format"] == "DXT5"
+    assert run(spark, ["find-chunk", index, "--fourcc", "GEOM"])["total"] == 2
+    assert run(spark, ["stats", index])["entries"] == 11
+    assert not run(spark, ["sniff", archive, "--base-id", "999"])["ok"]
+    assert not run(spark, ["nonsense", archive])["ok"]
+    assert not run(spark, ["extract", archive, "--out", out])["ok"]
