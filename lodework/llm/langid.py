@@ -144,7 +144,7 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
     return Model(names, (folded / temper).astype(np.float32), b / temper, bits, threshold)
 
 
-def predict(model: Model, texts: list[str | None], block: int = 2_000_000) -> list[tuple[str, float, bool]]:
+def predict(model: Model, texts: list[str | None], block: int = 500_000) -> list[tuple[str, float, bool]]:
     """For each whole text its language, the calibrated score and whether it is rejected. Texts go through in
     groups of about `block` characters; longer ones are summed piece by piece, overlapping by an n-gram."""
     out: list[tuple[str, float, bool]] = []
