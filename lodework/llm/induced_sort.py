@@ -24,7 +24,7 @@ import numpy as np
 class CharQueues:
     """A queue of (position, prefix) for each character, on disk beyond `limit` bytes."""
 
-    def __init__(self, limit: int, chunk: int = 1 << 20):
+    def __init__(self, limit: int, chunk: int = 1 << 18):
         self.limit, self.chunk, self.held = limit, chunk, 0
         self.memory: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
         self.disk: list[list[tuple[int, int]]] = [[] for _ in range(256)]
