@@ -167,9 +167,9 @@ class _Block:
         if not self.ready:
             self.ready = True
             self.index()
-            for row in self.home:
+            for k, row in enumerate(self.home):
                 if not row[2]:
-                    yield from self.visit(row)
+                    yield from self.visit(row, k)
 
     def end(self) -> Iterator[tuple]:
         yield from self.begin()
@@ -177,7 +177,8 @@ class _Block:
     def index(self) -> None:
         raise NotImplementedError
 
-    def visit(self, row: tuple) -> Iterator[tuple]:
+    def visit(self, row: tuple, at: int | None = None) -> Iterator[tuple]:
+        """at: the row's place in home, where it is at home."""
         raise NotImplementedError
 
 
@@ -191,13 +192,15 @@ class _NearRows(_Block):
         self.comps = np.array([r[1] for r in self.home], np.int64)
         self.marked = np.zeros(len(self.home), bool)
 
-    def visit(self, row: tuple) -> Iterator[tuple]:
+    def visit(self, row: tuple, at: int | None = None) -> Iterator[tuple]:
         mine = np.frombuffer(row[4], np.uint8)
         other = np.flatnonzero(self.comps != row[1])
         near = other[(self.sketches[other] == mine).sum(axis=1) >= self.least]
         self.marked[near] = True
-        if len(near) and not row[3]:
+        if len(near) and at is None:
             yield row[:4]
+        elif len(near):
+            self.marked[at] = True  # rows of the largest component never visit, so none of them would mark it
 
     def end(self) -> Iterator[tuple]:
         yield from self.begin()
@@ -224,12 +227,12 @@ class _LinkedRows(_Block):
             c = up
         return c
 
-    def visit(self, row: tuple) -> Iterator[tuple]:
+    def visit(self, row: tuple, at: int | None = None) -> Iterator[tuple]:
         mine = shingles(row[4], self.shingle)
         lo, hi = np.searchsorted(self.grams, mine, "left"), np.searchsorted(self.grams, mine, "right")
         count = hi - lo
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        inter = np.bincount(self.owner[at], minlength=len(self.home))
+        hits = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        inter = np.bincount(self.owner[hits], minlength=len(self.home))
         for k in np.flatnonzero((inter > 0) & (100 * inter >= self.percent * (len(mine) + self.sizes - inter))):
             doc, comp = self.home[k][:2]
             if (x := self.find(row[1])) != (y := self.find(comp)):

@@ -108,6 +108,31 @@ def test_near_duplicates_against_brute_force(spark, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_rows_keep_both_ends_of_a_link():
+    rows = [(0, 0, True, True, b"a" * 128), (1, 0, True, True, b"b" * 128), (2, 2, False, True, b"b" * 128), (3, 3, False, True, b"c" * 128)]
+    block = near_dedup._NearRows()
+    block.least = 100
+    got = [r for row in rows for r in block.take(row)] + list(block.end())
+    assert sorted(r[0] for r in got) == [1, 2]
+
+
+@pytest.mark.parametrize("block", [8192, 4])
+def test_near_duplicates_link_inside_a_hot_bucket(spark, block):
+    """The last text is linked with the one before only, and all buckets of these two have smaller ids."""
+    words = [f"w{k}" for k in range(200)]
+
+    def changed(places, mark):
+        return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(words))
+
+    texts = [*(changed({100 + 10 * i}, "a") for i in range(9)), " ".join(words), changed(set(range(1, 23, 2)), "b")]
+    bands = [set(near_dedup.signature(near_dedup.shingles(t, 2), near_dedup.Hasher(150))[0].tolist()) for t in texts]
+    assert bands[9] & bands[10] <= set().union(*bands[:9])
+    want, _ = exact_components(texts, 2, 80)
+    assert set(want) == {0} and set(exact_components(texts[:9] + texts[10:], 2, 80)[0]) == {0, 9}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(pdocs(spark, texts), shingle=2, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
     got = near_dedup.near_duplicates(df, shingle=2).collect()
