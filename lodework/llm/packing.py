@@ -183,20 +183,28 @@ class Packer:
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: int = 2048, segments: int = 256, window: int = 256, with_ids: bool = False) -> DataFrame:
-    """A row for each piece. with_ids adds the ids themselves, an array of integers."""
-    schema = OUT + (", ids array<int>" if with_ids else "")
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: int = 2048, segments: int = 256, window: int = 256, with_ids: bool = False, loss: str | None = None, loss_capacity: int | None = None) -> DataFrame:
+    """A row for each piece. with_ids adds the ids themselves, an array of integers.
+
+    loss names a column that says how many of a row's last tokens, its end token among them, bear loss (null: all);
+    each piece then has its number of them in loss_tokens. A sequence takes loss_capacity of them, or `tokens`."""
+    if loss_capacity is not None and loss_capacity < 1:
+        raise ValueError("loss_capacity has to be 1 at least")
+    schema = OUT + (", ids array<int>" if with_ids else "") + (", loss_tokens long" if loss else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         names = [c.strip().split(" ")[0] for c in schema.split(",")]
-        kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+        kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids + [pa.int64()] * bool(loss)
 
         def emit(k: tuple, start: int, ids: bytes, sequence: int, offset: int) -> None:
-            rows.append((k[0], start, len(ids) // 4, zlib.crc32(ids), k[1], base + sequence, offset, *([np.frombuffer(ids, "<u4").astype(np.int32)] * with_ids)))
+            doc, n, bearing = k
+            free = n - bearing
+            lossy = max(0, start + len(ids) // 4 - free) - max(0, start - free)
+            rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), n, base + sequence, offset, *([np.frombuffer(ids, "<u4").astype(np.int32)] * with_ids), *([lossy] * bool(loss))))
 
-        packer = Packer(emit, tokens, segments, window=window)
+        packer = Packer(emit, tokens, segments, loss_capacity, window)
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
@@ -206,15 +214,18 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", to
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(key)).to_pylist()
             texts = batch.column(batch.schema.get_field_index(text))
+            lossy = batch.column(batch.schema.get_field_index(loss)).to_pylist() if loss else [None] * len(ids)
             for i in range(0, len(ids), 64):
-                for d, e in zip(ids[i : i + 64], encode(texts[i : i + 64].to_pylist(), path), strict=True):
-                    packer.add((d, len(e) // 4), e)
+                for d, e, x in zip(ids[i : i + 64], encode(texts[i : i + 64].to_pylist(), path), lossy[i : i + 64], strict=True):
+                    n = len(e) // 4
+                    bearing = n if x is None else min(max(int(x), 0), n)
+                    packer.add((d, n, bearing), e, bearing)
                 if len(rows) > 5000:
                     yield out()
         packer.finish()
         yield out()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(run, schema)
 
 
 def tokenizer_path() -> str:

@@ -193,3 +193,28 @@ def test_packing_respects_the_loss_limit():
         a[2] += bearing
     assert all(a <= 100 and b <= 8 and c <= 30 for a, b, c in done.values())
     assert sum(n for _, _, n, _, _ in out) == 318
+
+
+def test_packing_frames_respect_the_loss_limit(spark):
+    pytest.importorskip("tokenizers")
+    rng = np.random.default_rng(2)
+    size = lambda t: len(packing.encode([t], packing.tokenizer_path())[0]) // 4
+    rows = []
+    for k in range(60):
+        prompt, answer = (" ".join(rng.choice(ENGLISH[0].split(), int(rng.integers(1, n)))) for n in (60, 40))
+        rows.append((k, f"{prompt} {answer}", size(answer)))
+    rows += [(60, "no loss at all " * 20, 0), (61, "all of it " * 40, None), (62, "more than there is", 1000), (63, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bearing long").coalesce(1)
+    got = packing.pack(df, packing.tokenizer_path(), tokens=100, segments=8, window=16, loss="bearing", loss_capacity=30).collect()
+    sums = {}
+    for r in got:
+        a = sums.setdefault(r.sequence_id, [0, 0, 0])
+        a[0], a[1], a[2] = a[0] + r.length, a[1] + 1, a[2] + r.loss_tokens
+    assert all(a <= 100 and b <= 8 and c <= 30 for a, b, c in sums.values()) and max(c for _, _, c in sums.values()) == 30
+    for k, text, bearing in rows:
+        n = size(text)
+        own = [r for r in got if r.doc_id == k]
+        want = n if bearing is None else min(bearing, n)
+        assert sum(r.length for r in own) == n and sum(r.loss_tokens for r in own) == want
+        for r in own:
+            assert r.loss_tokens == sum(r.start <= x < r.start + r.length for x in range(n - want, n))
