@@ -146,7 +146,8 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
 
 def predict(model: Model, texts: list[str | None], block: int = 500_000) -> list[tuple[str, float, bool]]:
     """For each whole text its language, the calibrated score and whether it is rejected. Texts go through in
-    groups of about `block` characters; longer ones are summed piece by piece, overlapping by an n-gram."""
+    groups of about `block` characters; longer ones are summed piece by piece, without overlap: the few n-grams
+    across a cut are not counted, and each cut counts as a blank."""
     out: list[tuple[str, float, bool]] = []
     total = np.zeros((len(texts), len(model.langs)))
     count = np.zeros(len(texts), np.int64)
