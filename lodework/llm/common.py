@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + scratch_dir.own.name
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path that files can be opened in, or None where it is a store that only Spark reaches."""
+    scheme, colon, path = scratch_dir(spark).partition(":")
+    return scheme if not colon else "/" + path.lstrip("/") if scheme == "file" else None
+
+
+def task_folder(shared: str | None) -> str | None:
+    """Where a task's own unnamed files go, which only it reads and a lost task's successor writes again: the shared folder
+    or, if files can't be opened there, the folders that Spark gives its executors for spilling."""
+    folder = shared or os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",")[0]
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+    return folder or None
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
@@ -87,6 +106,30 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free() -> None:
+    """Gives back to the system what this process no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable, *forget: Callable[[], object]) -> Callable:
+    """A mapInArrow function whose worker gives its memory back when its task ends, as later stages use the same workers.
+    forget: calls that empty what the worker has cached."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            free()
+
+    return task
+
+
 #: The bit table has so many words of 64 bits at most, whatever goes in: 4 MB.
 WORDS = 1 << 18
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, tidy
 
 # HTML's element kinds, as far as they matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -222,7 +222,7 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
                 made = [pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return carried.mapInArrow(run, StructType([*carried.schema.fields, *StructType.fromDDL(OUT).fields]))
+    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL(OUT).fields]))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

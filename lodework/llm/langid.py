@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, tidy
 
 UND = "und"
 ORDERS = (2, 3)
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             made = [pa.array(list(c), k) for c, k in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)] if got else [pa.array([], k) for k in (pa.string(), pa.float64(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
-    return carried.mapInArrow(run, StructType([*carried.schema.fields, *StructType.fromDDL(OUT).fields]))
+    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL(OUT).fields]))
 
 
 #: In the query, ids whose checksum is divisible by 5 are held out from training.

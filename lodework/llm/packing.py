@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 END_ID = 1
 
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", to
         packer.finish()
         yield out()
 
-    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(run, schema)
+    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(tidy(run), schema)
 
 
 def tokenizer_path() -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, tidy
 
 #: Fixed values of the base statistics.
 SYMBOLS = b"#*$%&|<>"
@@ -156,7 +156,7 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*batch.schema.names, *names])
 
-    return carried.mapInArrow(run, StructType([*carried.schema.fields, *StructType.fromDDL(OUT).fields]))
+    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL(OUT).fields]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

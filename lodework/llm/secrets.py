@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, tidy
 
 SAMPLE = 4000
 THRESHOLD = 0.5
@@ -257,7 +257,7 @@ def find_secrets(docs: DataFrame, forest: Forest | None) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 3, pa.string(), pa.float64(), pa.bool_()), strict=True)], names=[c.split(" ")[0] for c in OUT.split(", ")])
 
-    return docs.select("doc_id", "text", "source").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text", "source").mapInArrow(tidy(run), OUT)
 
 
 def redact_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
@@ -278,7 +278,7 @@ def redact_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = StructType([*docs.schema.fields])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
