@@ -1,69 +1,345 @@
-"""External induced suffix sorting with common-prefix values, to a bounded depth.
-
-Suffix tuples (position, common prefix with the tuple before) wait in priority queues keyed by first character. A
-scan in suffix order pushes each suffix's predecessor, so tuples reach every character's queue already in their
-order, and a queue is read first in, first out; what doesn't fit in memory goes to a temporary file of the task and
-is read back in blocks. Common-prefix values travel with the tuples: a pushed tuple's is one more than the least
-among those scanned since the last push to its queue, a range minimum.
-
-Order and values are needed to `depth` characters only. Therefore the seeds of the induction, the suffixes at local
-minima (a character smaller than the one before, not larger than what follows), are sorted on that many
-characters by words of eight, and no recursion on renamed strings is needed to break their ties.
-
-The text is bytes, in memory or mapped from a file; 0 separates strings, and no string holds it.
+"""External induced suffix sorting with common-prefix values, by recursion on renamed strings.
+
+1. The text's local minima (suffixes smaller than both neighbours) cut it into substrings. These are sorted by words of
+   characters and types, dealt to files by ranges of a word where they don't fit in memory, and named by rank.
+2. The names make a shorter string. Unless they all differ, its suffixes are sorted by the same steps: recursion.
+3. That order of the minima induces all others. Suffix tuples wait in queues, one for each character or, of a renamed
+   string, for each range of symbols. A scan in suffix order pushes each suffix's predecessor, first the larger ones
+   from small to large, then the smaller ones back from large to small.
+
+At the top level tuples carry common-prefix values: a pushed tuple's is one more than the least among those scanned
+since the last push to its queue, a range minimum. The minima's own are compared in the text, to `depth` characters.
+
+What goes beyond the memory given (queues, positions, names, the order itself) is in files of the task, in blocks that
+are written and read in order or mapped; the text may be mapped, too. 0 separates strings. Separators are told apart
+by their places, so no order depends on what follows one, and the recursion ends after about log2 of the longest
+string's length.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 
 
-class CharQueues:
-    """A queue of (position, prefix) for each character, on disk beyond `limit` bytes."""
+class Store:
+    """A task's files. They have no name once they are open, so a lost task leaves none behind."""
+
+    def __init__(self, memory: int = 32 << 20, folder: str | None = None):
+        self.memory, self.folder, self.spills = memory, folder, 0
+
+    def file(self):
+        self.spills += 1
+        return tempfile.TemporaryFile(dir=self.folder)
 
-    def __init__(self, limit: int, chunk: int = 1 << 18):
-        self.limit, self.chunk, self.held = limit, chunk, 0
-        self.memory: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
-        self.disk: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        self.file = None
+    def array(self, n: int, kind: type) -> np.ndarray:
+        """Zeros, in a file if they are large."""
+        if n * np.dtype(kind).itemsize <= self.memory // 4:
+            return np.zeros(n, kind)
+        with self.file() as f:
+            f.truncate(n * np.dtype(kind).itemsize)
+            return np.memmap(f, kind, "r+", shape=(n,))
 
-    def push(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.memory[c].append((pos, lcp))
-        self.held += 5 * len(pos)
-        if self.held > self.limit:
-            self._spill()
+
+class Queues:
+    """First in, first out, `many` of them, of rows with columns of these kinds; in a file beyond a share of the memory."""
+
+    def __init__(self, many: int, store: Store, *kinds: type, chunk: int = 1 << 18):
+        self.store, self.kinds, self.chunk = store, [np.dtype(k) for k in kinds], chunk
+        self.size = sum(k.itemsize for k in self.kinds)
+        self.entries: list[deque] = [deque() for _ in range(many)]
+        self.held, self.disk = 0, None
+
+    def push(self, c: int, *cols: np.ndarray) -> None:
+        if len(cols[0]):
+            self.entries[c].append(cols)
+            self.held += self.size * len(cols[0])
+            if self.held > self.store.memory // 4:
+                self._spill()
 
     def _spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115  goes with the queues
-        self.file.seek(0, 2)
-        for c, chunks in enumerate(self.memory):
-            for pos, lcp in chunks:
-                for a in range(0, len(pos), self.chunk):
-                    self.disk[c].append((self.file.tell(), len(p := pos[a : a + self.chunk])))
-                    self.file.write(p.tobytes() + lcp[a : a + self.chunk].tobytes())
-            chunks.clear()
+        self.disk = self.disk or self.store.file()
+        self.store.spills += 1
+        self.disk.seek(0, 2)
+        for c, entries in enumerate(self.entries):
+            if any(isinstance(e[0], np.ndarray) for e in entries):
+                done: deque = deque()
+                for e in entries:
+                    if not isinstance(e[0], np.ndarray):
+                        done.append(e)
+                        continue
+                    for a in range(0, len(e[0]), self.chunk):
+                        done.append((self.disk.tell(), len(e[0][a : a + self.chunk])))
+                        for col, kind in zip(e, self.kinds, strict=True):
+                            self.disk.write(col[a : a + self.chunk].astype(kind, copy=False).tobytes())
+                self.entries[c] = done
         self.held = 0
 
-    def waiting(self, c: int) -> bool:
-        return bool(self.disk[c] or self.memory[c])
-
-    def pop(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """The next block of a queue that waits."""
-        if self.disk[c]:
-            at, n = self.disk[c].pop(0)
-            self.file.seek(at)
-            raw = self.file.read(5 * n)
-            return np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.uint8, n, 4 * n)
-        chunks = self.memory[c]
-        taken, size = [], 0
-        while chunks and size < self.chunk:
-            taken.append(chunks.pop(0))
+    def load(self, entry: tuple) -> tuple[np.ndarray, ...]:
+        if isinstance(entry[0], np.ndarray):
+            return entry
+        at, n = entry
+        self.disk.seek(at)
+        raw, out, a = self.disk.read(self.size * n), [], 0
+        for kind in self.kinds:
+            out.append(np.frombuffer(raw, kind, n, a))
+            a += kind.itemsize * n
+        return tuple(out)
+
+    def pop(self, c: int) -> tuple[np.ndarray, ...] | None:
+        """The next block of a queue, or None."""
+        taken, size, entries = [], 0, self.entries[c]
+        while entries and size < self.chunk:
+            e = entries.popleft()
+            if isinstance(e[0], np.ndarray):
+                self.held -= self.size * len(e[0])
+            taken.append(self.load(e))
             size += len(taken[-1][0])
-        self.held -= 5 * size
-        return (taken[0][0], taken[0][1]) if len(taken) == 1 else (np.concatenate([t[0] for t in taken]), np.concatenate([t[1] for t in taken]))
+        if len(taken) < 2:
+            return taken[0] if taken else None
+        return tuple(np.concatenate([t[k] for t in taken]) for k in range(len(self.kinds)))
+
+    def blocks(self, c: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+        """All blocks of a queue, which keeps them."""
+        for e in reversed(self.entries[c]) if backwards else self.entries[c]:
+            yield self.load(e)
+
+    def take(self, c: int) -> tuple[np.ndarray, ...]:
+        """All rows of a queue, which is empty then."""
+        got = list(iter(lambda: self.pop(c), None))
+        return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, kind) for k, kind in enumerate(self.kinds))
+
+
+def minima(text: np.ndarray, store: Store, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each suffix is larger than the one after it, the places of local minima in order), block by block from
+    the end. The last suffix is larger; of two zeros the second is."""
+    n = len(text)
+    larger = store.array(n, np.bool_)
+    places = store.array(n // 2 + 1, np.int64)
+    free = len(places)
+    larger[n - 1] = True
+    for b in range(n - 1, 0, -block):
+        a = max(0, b - block)
+        x, y = text[a:b], text[a + 1 : b + 1]
+        kind = (x < y).astype(np.int8) - (x > y) + ((x == y) & (x == 0))
+        kind = np.append(kind, np.int8(-1 if larger[b] else 1))
+        known = np.flatnonzero(kind)
+        big = kind[known[np.searchsorted(known, np.arange(b - a + 1))]] < 0
+        larger[a:b] = big[:-1]
+        found = a + 1 + np.flatnonzero(~big[1:] & big[:-1])
+        places[free - len(found) : free] = found
+        free -= len(found)
+    return larger, places[free:]
+
+
+class Names:
+    """Names for the substrings from each local minimum to the next, in their order, and so the renamed string."""
+
+    def __init__(self, text: np.ndarray, larger: np.ndarray, places: np.ndarray, store: Store, separated: bool):
+        self.text, self.larger, self.places, self.store, self.separated = text, larger, places, store, separated
+        top = 4 * (int(text.max()) if len(text) else 0) + 3
+        self.bits = next(b for b in (16, 32, 64) if top < 1 << b)
+
+    def words(self, idx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k-th word of each substring, 0 beyond its end, and whether it goes on beyond that word."""
+        width = 64 // self.bits
+        at = self.places[idx] + k * width
+        following = np.minimum(idx + 1, len(self.places) - 1)
+        end = np.where(idx + 1 < len(self.places), self.places[following], len(self.text) - 1)
+        out = np.zeros(len(idx), np.uint64)
+        for c in range(width):
+            here = np.minimum(at + c, end)
+            # of one character the text's end is the smallest, then a larger suffix, then a smaller one
+            code = self.text[here].astype(np.uint64) * np.uint64(4) + np.uint64(3) - self.larger[here] - (here == len(self.text) - 1)
+            out = (out << np.uint64(self.bits % 64)) | np.where(at + c <= end, code, np.uint64(0))
+        return out, at + width <= end
+
+    def inside(self, idx: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(idx in order, where a new name begins), from word k on, in memory."""
+        group, new = np.zeros(len(idx), np.int64), np.zeros(len(idx), bool)
+        new[:1] = True
+        open_ = np.arange(len(idx)) if len(idx) > 1 else np.zeros(0, np.int64)
+        while len(open_):
+            w, more = self.words(idx[open_], k)
+            g = group[open_]
+            o = np.lexsort((w, g)) if g[0] != g[-1] else np.argsort(w, kind="stable")
+            w, more, g = w[o], more[o], g[o]
+            idx[open_] = idx[open_][o]
+            starts = np.r_[True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])]
+            new[open_[starts]] = True
+            lone = starts & np.r_[starts[1:], True]
+            group[open_] = np.cumsum(starts)
+            open_ = open_[more & ~lone]
+            k += 1
+        yield idx, new
+
+    def ordered(self, blocks: Iterator[np.ndarray], many: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As inside(), for more than the memory holds: dealt by ranges of the word, or by the next one if all are equal."""
+        if 64 * many <= self.store.memory or many < 2:
+            yield from self.inside(np.concatenate([*blocks, np.zeros(0, np.int64)]), k)
+            return
+        spool, sample, go_on = Queues(1, self.store, np.int64), [], False
+        for idx in blocks:
+            w, more = self.words(idx, k)
+            go_on |= bool(more.any())
+            sample.append(np.sort(w)[:: max(1, len(w) // 64)])
+            sample.append(w[[w.argmin(), w.argmax()]])
+            spool.push(0, idx)
+        seen = np.sort(np.concatenate(sample))
+        if seen[0] == seen[-1]:
+            if go_on:
+                yield from self.ordered((b for (b,) in spool.blocks(0)), many, k + 1)
+                return
+            first = True
+            for (idx,) in spool.blocks(0):
+                new = np.zeros(len(idx), bool)
+                new[0], first = first, False
+                yield idx, new
+            return
+        ranges = min(256, 2 + 64 * many // max(1, self.store.memory))
+        cuts = np.unique(np.r_[seen[np.linspace(0, len(seen) - 1, ranges + 1).astype(int)[1:-1]], seen[-1]])
+        cuts = cuts[cuts > seen[0]]
+        dealt, sizes = Queues(len(cuts) + 1, self.store, np.int64), np.zeros(len(cuts) + 1, np.int64)
+        for (idx,) in spool.blocks(0):
+            r = np.searchsorted(cuts, self.words(idx, k)[0], "right")
+            for c in np.unique(r):
+                dealt.push(int(c), part := idx[r == c])
+                sizes[c] += len(part)
+        for c, size in enumerate(sizes.tolist()):
+            if size:
+                yield from self.ordered((b for (b,) in dealt.blocks(c)), size, k)
+
+    def renamed(self, block: int) -> tuple[np.ndarray, bool]:
+        """(the renamed string, whether all its symbols differ). Separators' names are their places in order."""
+        m = len(self.places)
+        out = self.store.array(m, np.int64)
+        ahead, spool, rest = 0, Queues(1, self.store, np.int64), 0
+        for a in range(0, m, block):
+            idx = np.arange(a, min(a + block, m))
+            apart = (self.text[self.places[idx]] == 0) & self.separated
+            out[idx[apart]] = ahead + 1 + np.arange(apart.sum())
+            ahead += int(apart.sum())
+            spool.push(0, idx[~apart])
+            rest += int((~apart).sum())
+        name, alone = ahead, True
+        for idx, new in self.ordered((b for (b,) in spool.blocks(0)), rest, 0):
+            names = name + np.cumsum(new)
+            out[idx] = names
+            alone &= bool(new.all())
+            name = int(names[-1]) if len(names) else name
+        return out, alone
+
+
+def order(text: np.ndarray, store: Store) -> np.ndarray:
+    """The suffix array of a string of positive integers, those of separators unlike all others."""
+    n, block = len(text), max(1024, store.memory // 64)
+    larger, places = minima(text, store, block)
+    seeds = _seeds(text, larger, places, store, block, False)
+    del larger
+    sample = np.sort(np.asarray(text[:: max(1, n // 65536)]))
+    many = 1 + max(96 * n // max(1, store.memory), n >> 14)
+    cuts, times = np.unique(sample[np.linspace(0, len(sample) - 1, many + 1).astype(int)[1:-1]], return_counts=True)
+    cuts = np.union1d(cuts, cuts[times > 1] + 1)  # a frequent symbol has a range of its own
+    lows, tops = np.r_[0, cuts], np.r_[cuts, max(int(text.max()), int(cuts.max(initial=0))) + 1]
+    sizes = np.zeros(len(lows), np.int64)
+    for a in range(0, n, block):
+        sizes += np.bincount(np.searchsorted(cuts, text[a : a + block], "right"), minlength=len(lows))
+    seed_ends = np.zeros(len(lows) + 1, np.int64)
+    for a in range(0, len(seeds), block):
+        seed_ends[1:] += np.bincount(np.searchsorted(cuts, text[seeds[a : a + block]], "right"), minlength=len(lows))
+    seed_ends = np.cumsum(seed_ends)
+
+    def push(queues: Queues, pos: np.ndarray) -> None:
+        r = np.searchsorted(cuts, text[pos], "right")
+        by = np.argsort(r, kind="stable")
+        pos, r = pos[by], r[by]
+        starts = np.flatnonzero(np.diff(r, prepend=-1))
+        for a, b in zip(starts, np.r_[starts[1:], len(pos)][: len(starts)], strict=True):
+            queues.push(int(r[a]), pos[a:b])
+
+    def scan(first: np.ndarray, second: np.ndarray, lo: int, hi: int, up: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of one range in scan order, whether each is of the kind induced, and predecessors of other ranges.
+        first: those pushed before, in order; second: those of the other kind, in order. What they induce in the
+        range itself is found in waves, each of which sorts by symbol and the order of the one before."""
+        induced = np.zeros(0, np.int64)
+        source = np.zeros(0, np.int64)
+        sign = 1 if up else -1
+        while True:
+            pos = np.concatenate([first, induced, second])
+            kind = np.repeat([0, 1], [len(first) + len(induced), len(second)])
+            rank = np.concatenate([np.arange(-len(first), 0), source, np.arange(len(second))])
+            sym = text[pos]
+            if 0 < hi - lo < 1 << 22 and n < 1 << 39:  # one key for all three, whose ranks differ by kind and symbol
+                o = np.argsort((sym - lo if up else hi - sym) << 41 | kind << 40 | rank + n)
+            else:
+                o = np.lexsort((rank, kind, sign * sym))
+            pos, sym, kind = pos[o], sym[o], kind[o]
+            before = np.maximum(pos - 1, 0)
+            prev = text[before]
+            wanted = (pos > 0) & ((prev > sym if up else prev < sym) | (prev == sym) & (kind == 0))
+            here = wanted & (prev < hi) & (prev >= lo)
+            children = before[here]
+            if len(children) == len(induced):
+                return pos, kind == 0, before[wanted & ~here]
+            induced, source = children, np.flatnonzero(here)
+
+    def stream(pos: np.ndarray, sym: int, queues: Queues, up: bool, equal: bool) -> None:
+        """The predecessors of suffixes that begin with one symbol."""
+        before = np.maximum(pos - 1, 0)
+        prev = text[before]
+        push(queues, before[(pos > 0) & ((prev > sym if up else prev < sym) | (prev == sym) & equal)])
+
+    alone = tops == lows + 1  # such a range needs no sorting, and goes through in blocks
+    rising, found = Queues(len(lows), store, np.int64), Queues(len(lows), store, np.int64)
+    push(rising, np.array([n - 1]))
+    for r in range(len(lows)):
+        if alone[r]:
+            while got := rising.pop(r):
+                found.push(r, *got)
+                stream(*got, lows[r], rising, True, True)
+            for a in range(seed_ends[r], seed_ends[r + 1], block):
+                stream(np.asarray(seeds[a : min(a + block, seed_ends[r + 1])]), lows[r], rising, True, False)
+            continue
+        got, kind, out = scan(rising.take(r)[0], np.asarray(seeds[seed_ends[r] : seed_ends[r + 1]]), lows[r], tops[r], True)
+        found.push(r, got[kind])
+        push(rising, out)
+    sa, ends = store.array(n, np.int64), np.cumsum(sizes)
+    falling = Queues(len(lows), store, np.int64)
+    for r in range(len(lows) - 1, -1, -1):
+        if alone[r]:
+            to = ends[r]
+            while got := falling.pop(r):
+                sa[to - len(got[0]) : to] = got[0][::-1]
+                to -= len(got[0])
+                stream(*got, lows[r], falling, False, True)
+            for (pos,) in found.blocks(r, backwards=True):
+                sa[to - len(pos) : to] = pos
+                to -= len(pos)
+                stream(pos[::-1], lows[r], falling, False, False)
+            continue
+        got, _, out = scan(falling.take(r)[0], found.take(r)[0][::-1], lows[r], tops[r], False)
+        sa[ends[r] - sizes[r] : ends[r]] = got[::-1]
+        push(falling, out)
+    return sa
+
+
+def _seeds(text: np.ndarray, larger: np.ndarray, places: np.ndarray, store: Store, block: int, separated: bool) -> np.ndarray:
+    """The local minima in suffix order: by their names, or by recursion on the renamed string."""
+    out = store.array(len(places), np.int64)
+    if not len(places):
+        return out
+    names, alone = Names(text, larger, places, store, separated).renamed(block)
+    if not alone:
+        ranks = order(names, store)
+        for a in range(0, len(out), block):
+            out[a : a + block] = places[ranks[a : a + block]]
+        return out
+    for a in range(0, len(out), block):
+        out[names[a : a + block] - 1] = places[a : a + block]
+    return out
 
 
 class RangeMin:
@@ -87,22 +363,25 @@ class RangeMin:
 
 
 class _Pusher:
-    """Takes scanned tuples in order and pushes the predecessors that are of the wanted type."""
+    """Takes scanned tuples of one first character in order and pushes the predecessors that are of the wanted kind."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queues: CharQueues, depth: int):
-        self.text, self.wanted, self.queues, self.depth = text, wanted, queues, depth
+    def __init__(self, text: np.ndarray, queues: Queues, depth: int, up: bool):
+        self.text, self.queues, self.depth, self.up = text, queues, depth, up
         self.since = np.zeros(256, np.uint8)  # the least prefix scanned since the last push; 0 before any push
+        self.pushed = np.zeros(256, bool)
         self.last = -1
 
-    def scan(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+    def scan(self, c: int, pos: np.ndarray, lcp: np.ndarray, equal: bool) -> None:
+        """equal: whether a predecessor of the same character is wanted, too."""
         before = np.maximum(pos - 1, 0)
-        k = np.flatnonzero((pos > 0) & self.wanted[before])
+        prev = self.text[before]
+        k = np.flatnonzero((pos > 0) & ((prev > c if self.up else prev < c) | ((prev == c) & equal)))
         least = lcp.min()
         fresh = np.minimum(self.since, least)
         if len(k):
-            chars = self.text[before[k]]
-            order = np.argsort(chars, kind="stable")
-            k, chars = k[order], chars[order]
+            chars = prev[k]
+            by = np.argsort(chars, kind="stable")
+            k, chars = k[by], chars[by]
             first = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
             lo = np.r_[0, k[:-1] + 1]
             lo[first] = 0
@@ -116,127 +395,137 @@ class _Pusher:
             rest = np.full(len(first), self.depth, np.uint8)
             rest[full] = least_of(tail[full], np.full(full.sum(), len(lcp) - 1))
             fresh[chars[first]] = rest
-            places = before[k].astype(np.int32)
-            # a queue's first tuple follows nothing of the same character
-            for f, e, c in zip(first, ends, chars[first], strict=True):
-                if not self.pushed[c]:
+            places = before[k]
+            # a queue's first tuple follows nothing of the same character; separators have nothing in common
+            for f, e, x in zip(first, ends, chars[first], strict=True):
+                if not self.pushed[x]:
                     out[f] = 0
-                    self.pushed[c] = True
-                self.queues.push(int(c), places[f:e], out[f:e])
+                    self.pushed[x] = True
+                if not x:
+                    out[f:e] = 0
+                self.queues.push(int(x), places[f:e], out[f:e])
         self.since = fresh
         self.last = int(pos[-1])
 
-    pushed: np.ndarray
-
-
-def _pusher(text: np.ndarray, wanted: np.ndarray, queues: CharQueues, depth: int) -> _Pusher:
-    p = _Pusher(text, wanted, queues, depth)
-    p.pushed = np.zeros(256, bool)
-    return p
-
-
-def types(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is larger than the one after it (L); the last one is."""
-    up = np.sign(np.diff(text.astype(np.int16)))
-    kind = np.r_[up, np.int16(-1)]
-    known = np.flatnonzero(kind)
-    return kind[known[np.searchsorted(known, np.arange(len(text)))]] < 0
 
-
-def _word(text: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-    """Eight characters from pos + 8 * k on as one big-endian number; 0 beyond the end."""
-    at = pos.astype(np.int64)[:, None] + np.arange(8 * k, 8 * k + 8)
-    return np.where(at < len(text), text[np.minimum(at, len(text) - 1)], 0).astype(np.uint8).view(">u8").ravel().astype(np.uint64)
-
-
-def depth_sort(text: np.ndarray, pos: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their first `depth` characters at least, and each one's prefix with the one before."""
-    if not len(pos):
-        return pos.astype(np.int32), np.zeros(0, np.uint8)
-    order, group = pos.copy(), np.zeros(len(pos), np.int64)
-    lcp = np.full(len(pos), 255, np.uint8)
-    lcp[0] = 0
-    for k in range(-(-depth // 8)):
-        size = np.bincount(group)
-        open_ = np.flatnonzero(size[group] > 1)
-        if not len(open_):
-            break
-        w = _word(text, order[open_], k)
-        o = np.lexsort((w, group[open_]))
-        order[open_], w = order[open_][o], w[o]
-        same = (group[open_][1:] == group[open_][:-1]) & (np.diff(open_) == 1)
-        differs = same & (w[1:] != w[:-1])
-        x = w[1:][differs] ^ w[:-1][differs]
-        lcp[open_[1:][differs]] = 8 * k + (64 - np.frexp(np.maximum(x, 1).astype(np.float64))[1].clip(0, 64)) // 8
-        new = np.r_[True, group[1:] != group[:-1]]
-        new[open_[1:][differs]] = True
-        lcp[np.flatnonzero(new & (lcp == 255))] = 0
-        group = np.cumsum(new) - 1
-    return order.astype(np.int32), np.minimum(lcp, depth).astype(np.uint8)
-
-
-def _prefix(text: np.ndarray, a: int, b: int, depth: int) -> int:
-    n = min(depth, len(text) - max(a, b))
-    d = np.flatnonzero(text[a : a + n] != text[b : b + n])
-    return int(d[0]) if len(d) else n
-
-
-def suffix_array(text: np.ndarray, depth: int, memory: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (positions, prefix with the position before, at most depth), in suffix order to that depth."""
-    n = len(text)
+class Prefixes:
+    """Common prefixes of suffixes of a text, which end at a separator, to `depth` characters."""
+
+    def __init__(self, padded: np.ndarray, n: int, depth: int):
+        self.words, self.n, self.depth = np.ndarray((n,), ">u8", padded, strides=(1,)), n, depth
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        live = np.arange(len(a))
+        for k in range(0, self.depth, 8):
+            live = live[np.maximum(a[live], b[live]) + k < self.n]
+            if not len(live):
+                break
+            x, y = (self.words[p[live] + k].astype(np.uint64) for p in (a, b))
+            low = np.uint64(0x7F7F7F7F7F7F7F7F)
+            # bits set from the first character on that differs or is a separator
+            odd = (x ^ y) | ~(((x & low) + low) | x | low)
+            same = sum((odd < np.uint64(1 << s)).astype(np.int64) for s in range(56, -1, -8))
+            out[live] += same
+            live = live[same == 8]
+        # a word may reach beyond the text's end
+        return np.minimum(np.minimum(out, self.depth), self.n - np.maximum(a, b)).astype(np.uint8)
+
+    def one(self, a: int, b: int) -> int:
+        return int(self(np.array([a]), np.array([b]))[0])
+
+
+def suffix_array(text: np.ndarray, depth: int, memory: int = 64 << 20, store: Store | None = None, n: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (positions, prefix with the position before, at most depth), in suffix order up to the separators.
+
+    n: the text's length where eight zeros or more follow it in `text`, which is then not copied."""
+    store = store or Store(memory)
+    if n is None:
+        n, text = len(text), np.concatenate([text, np.zeros(8, np.uint8)])
     if not n:
         return
-    larger = types(text)
-    minima = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
-    seeds, seed_lcp = depth_sort(text, minima, depth)
-    bounds = np.searchsorted(text[seeds], np.arange(257)) if len(seeds) else np.zeros(257, int)
-
-    waiting, ready = CharQueues(memory), CharQueues(memory)
-    push = _pusher(text, larger, waiting, depth)
+    prefixes, text = Prefixes(text, n, depth), text[:n]
+    block = max(1024, store.memory // 64)
+    larger, places = minima(text, store, block)
+    seeds = _seeds(text, larger, places, store, block, True)
+    del larger
+    bounds = np.zeros(257, np.int64)
+    for a in range(0, len(seeds), block):
+        bounds[1:] += np.bincount(text[seeds[a : a + block]], minlength=256)
+    bounds = np.cumsum(bounds)
+
+    kind = np.int32 if n < 1 << 31 else np.int64
+    waiting, ready = (Queues(256, store, kind, np.uint8) for _ in range(2))
+    push = _Pusher(text, waiting, depth, True)
     push.pushed[text[-1]] = True
-    waiting.push(int(text[-1]), np.array([n - 1], np.int32), np.zeros(1, np.uint8))
-    last_l = np.full(256, -1)
+    waiting.push(int(text[-1]), np.array([n - 1], kind), np.zeros(1, np.uint8))
     for c in range(256):
-        while waiting.waiting(c):
-            pos, lcp = waiting.pop(c)
-            ready.push(c, pos, lcp)
-            push.scan(pos, lcp)
-            last_l[c] = pos[-1]
-        a, b = bounds[c], bounds[c + 1]
-        if a < b:
-            lcp = seed_lcp[a:b].copy()
-            lcp[0] = _prefix(text, push.last, int(seeds[a]), depth) if last_l[c] >= 0 else 0
-            push.scan(seeds[a:b], lcp)
-    down, out = CharQueues(memory), CharQueues(memory)
-    push = _pusher(text, ~larger, down, depth)
-    larger_of: list[list] = [[] for _ in range(256)]
+        some = False
+        while got := waiting.pop(c):
+            ready.push(c, *got)
+            push.scan(c, *got, equal=c > 0)
+            some = True
+        for a in range(bounds[c], bounds[c + 1], block):
+            here = np.asarray(seeds[a : min(a + block, bounds[c + 1])])
+            lcp = np.zeros(len(here), np.uint8)
+            lcp[1:] = prefixes(here[:-1], here[1:])
+            if some:
+                lcp[0] = prefixes.one(push.last, int(here[0]))
+            push.scan(c, here, lcp, equal=False)
+            some = True
+    del seeds
+    down, out = (Queues(256, store, kind, np.uint8) for _ in range(2))
+    push = _Pusher(text, down, depth, False)
+
+    def drain(c: int) -> None:
+        while got := down.pop(c):
+            out.push(c, *got)
+            push.scan(c, *got, equal=True)
+
     for c in range(255, -1, -1):
-        while down.waiting(c):
-            pos, lcp = down.pop(c)
-            out.push(c, pos, lcp)
-            push.scan(pos, lcp)
+        drain(c)
         had = push.last if push.last >= 0 and text[push.last] == c else -1
-        blocks = []
-        while ready.waiting(c):
-            blocks.append(ready.pop(c))
-        after = _prefix(text, had, int(blocks[-1][0][-1]), depth) if blocks and had >= 0 else 0
-        for pos, lcp in reversed(blocks):
-            push.scan(pos[::-1], np.r_[np.uint8(after), lcp[:0:-1]].astype(np.uint8))
-            after = lcp[0]
-        for pos, lcp in blocks:
-            larger_of[c].append((pos, lcp))
+        after = -1
+        for pos, lcp in ready.blocks(c, backwards=True):
+            if after < 0:
+                after = prefixes.one(had, int(pos[-1])) if had >= 0 else 0
+            push.scan(c, pos[::-1], np.r_[np.uint8(after), lcp[:0:-1]].astype(np.uint8), equal=c == 0)
+            after = int(lcp[0])
+    drain(0)  # zeros before the last one, if that ends the text
     for c in range(256):
         end = -1
-        for pos, lcp in larger_of[c]:
+        for pos, lcp in ready.blocks(c):
             yield pos, lcp
             end = int(pos[-1])
-        small = []
-        while out.waiting(c):
-            small.append(out.pop(c))
-        if small:
+        lead = -1
+        for pos, lcp in out.blocks(c, backwards=True):
             # read backwards, a value stands with the later of two; forwards, with the earlier
-            lead = _prefix(text, end, int(small[-1][0][-1]), depth) if end >= 0 else 0
-            for k in range(len(small) - 1, -1, -1):
-                pos, lcp = small[k]
-                yield pos[::-1], np.r_[np.uint8(lead), lcp[:0:-1]].astype(np.uint8)
-                lead = lcp[0]
+            if lead < 0:
+                lead = prefixes.one(end, int(pos[-1])) if end >= 0 else 0
+            yield pos[::-1], np.r_[np.uint8(lead), lcp[:0:-1]].astype(np.uint8)
+            lead = int(lcp[0])
+
+
+def _word(text: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """Eight characters from pos + 8 * k on as one big-endian number; 0 beyond the end."""
+    out = np.zeros(len(pos), np.uint64)
+    for at in range(8 * k, 8 * k + 8):
+        here = pos + at
+        out = out << np.uint64(8) | np.where(here < len(text), text[np.minimum(here, len(text) - 1)], 0).astype(np.uint64)
+    return out
+
+
+def depth_sort(text: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of their first `depth` characters at least, by words of eight."""
+    idx, group = pos.astype(np.int64), np.zeros(len(pos), np.int64)
+    open_ = np.arange(len(pos))
+    for k in range(-(-depth // 8)):
+        if not len(open_):
+            break
+        w, g = _word(text, idx[open_], k), group[open_]
+        o = np.lexsort((w, g)) if g[0] != g[-1] else np.argsort(w, kind="stable")
+        idx[open_], w, g = idx[open_][o], w[o], g[o]
+        starts = np.r_[True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])]
+        group[open_] = np.cumsum(starts)
+        open_ = open_[~(starts & np.r_[starts[1:], True])]
+    return idx

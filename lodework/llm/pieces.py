@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import table, tidy
 from .induced_sort import depth_sort
 
 BLANK = "▁"
@@ -117,11 +117,14 @@ class Pieces:
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
         begin = np.flatnonzero(((text < 0x80) | (text >= 0xC0)) & (text != _END))[:-8]
-        order, _ = depth_sort(text, begin, self.width)
+        order = depth_sort(text, begin, self.width)
         padded = np.concatenate([text, np.zeros(self.width, np.uint8)])
-        rows = padded[order.astype(np.int64)[:, None] + np.arange(self.width)].view(f"S{self.width}").ravel()
-        lo = np.searchsorted(rows, np.array(self.codes, f"S{self.width}"))
-        hi = np.searchsorted(rows, np.array([c + b"\xff" * (self.width - len(c)) for c in self.codes], f"S{self.width}"), "right")
+        least, most = (np.array(x, f"S{self.width}") for x in (self.codes, [c + b"\xff" * (self.width - len(c)) for c in self.codes]))
+        lo, hi = np.zeros(len(least), np.int64), np.zeros(len(least), np.int64)
+        for a in range(0, len(order), 1 << 16):  # places in a part of the array add up to those in the whole
+            rows = padded[order[a : a + (1 << 16), None] + np.arange(self.width)].view(f"S{self.width}").ravel()
+            lo += np.searchsorted(rows, least)
+            hi += np.searchsorted(rows, most, "right")
         count = hi - lo
         which = np.repeat(np.arange(len(count)), count)
         at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)].astype(np.int64)
@@ -235,7 +238,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", digest: bool =
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, len(part)).columns, *made], names=[*batch.schema.names, *names])
                 row += len(part)
 
-    return carried.mapInArrow(run, StructType([*carried.schema.fields, *StructType.fromDDL(OUT if digest else "ids array<int>").fields]))
+    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL(OUT if digest else "ids array<int>").fields]))
 
 
 def decode_column(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -248,7 +251,7 @@ def decode_column(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             got = [None if x is None else pieces.decode(np.array(x, "<u4").tobytes()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, "text"])
 
-    return carried.mapInArrow(run, StructType([*carried.schema.fields, *StructType.fromDDL("text string").fields]))
+    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL("text string").fields]))
 
 
 def model_path() -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import Scratch, table, tidy
 
 _LIMIT = 1 << 63
 
@@ -123,7 +123,7 @@ def blocks(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
         if ids:
             yield out()
 
-    return vectors.mapInArrow(run, BLOCK)
+    return vectors.mapInArrow(tidy(run), BLOCK)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 1024, cand_block: int = 8192) -> DataFrame:
@@ -150,7 +150,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                 found = np.array(list(best(q_rows, q_ids, c_rows, c_ids, k)), np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    part = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    part = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

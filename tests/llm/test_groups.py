@@ -250,3 +250,59 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == set(ids["secret_scan"])
+
+
+def test_induced_sort_of_more_than_its_memory():
+    """A shard many times the memory: its queues, names and order go to files, and recursion sorts the renamed string."""
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(2, 8))).astype(np.uint8)) for _ in range(300)]
+    core = b" ".join(words[:6])
+    parts = [b" ".join(words[k] for k in rng.integers(0, 300, int(rng.integers(0, 6)))) + core for _ in range(4000)]
+    text = np.frombuffer(b"\0".join([*parts, b""]), np.uint8)
+    orders = []
+    for memory in (20_000, 64 << 20):
+        store = induced_sort.Store(memory)
+        blocks = list(induced_sort.suffix_array(text, 50, store=store))
+        assert (store.spills > 50) == (memory < len(text) // 5)
+        pos, lcp = (np.concatenate([b[k] for b in blocks]) for k in (0, 1))
+        assert np.array_equal(np.sort(pos), np.arange(len(text)))
+        raw = text.tobytes()
+        head = [raw[i : i + 50].split(b"\0")[0] for i in pos.tolist()]
+        assert head == sorted(head)
+        orders.append(lcp.tolist())
+    assert orders[0] == orders[1]
+
+
+def test_repeats_around_a_hot_anchor(spark):
+    """One string in all documents, in different surroundings: a shard and a bucket of one anchor that both exceed the memory."""
+    rng = np.random.default_rng(2)
+    core = "a passage that every document holds"
+    texts = [f"{''.join(rng.choice(list('abcdef'), 30))} {core} {''.join(rng.choice(list('abcdef'), 30))}" for _ in range(300)]
+    texts += [f"{texts[k][:40]}{'z' * k}" for k in range(60)] + texts[:40]
+    docs = pdocs(spark, texts).select("doc_id", "text")
+    raw = [t.encode() for t in texts]
+    want = brute_spans(texts)
+    for most, memory in ((1 << 20, 32 << 20), (50, 2000)):
+        shared = spark.createDataFrame(suffix_dedup._shared(suffix_dedup._packed_anchors(docs, 4), 2, None, most).collect(), "doc_id long, ident long, ask boolean")
+        asks = shared.where("ask").groupBy("doc_id").agg(F.collect_list("ident").alias("idents"))
+        masks = suffix_dedup._masks(suffix_dedup._surroundings(docs.join(asks, "doc_id").select("doc_id", "text", "idents")), 2, None, 500, memory)
+        entries = {}
+        for r in [*shared.where("NOT ask").withColumn("mask", F.lit(-1)).collect(), *masks.collect()]:
+            entries.setdefault(r.doc_id, []).append((r.ident, r.mask))
+        found = suffix_dedup.repeated_spans(raw, [[i for i, _ in entries.get(k, [])] for k in range(len(raw))], [[m for _, m in entries.get(k, [])] for k in range(len(raw))])
+        assert found == want
+
+
+def test_anchors_of_a_long_text_in_pieces():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (5000, 0, 49, 50, 777, 130)]
+    whole, cut = suffix_dedup.Anchors(texts), suffix_dedup.Anchors(texts, piece=100)
+    for name in ("at", "owner", "low", "high", "key", "around"):
+        assert np.array_equal(getattr(whole, name), getattr(cut, name)), name
+
+
+def test_repeats_with_odd_columns(spark):
+    text = "a passage of more than fifty bytes that two documents have in common, and its end"
+    df = spark.createDataFrame([(1, text, "a", 5), (2, "x " + text, "b", 5), (None, text, "c", 5), (2, None, "d", 5), (2, "x " + text, "e", 5)], "doc_id int, text string, _idents string, masks int")
+    got = {(r._idents): (r.doc_id, r.text, r.masks) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {"a": (1, text, 5), "b": (2, "x ", 5), "c": (None, text, 5), "d": (2, None, 5), "e": (2, "x ", 5)}
