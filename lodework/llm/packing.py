@@ -6,11 +6,14 @@ demand and remaining capacity goes in, each dimension weighted by its capacity.
 one is cut to what is left and its rest waits on, so a sequence ends full, or at its limit of segments.
 
 Each partition packs its own rows: no shuffle, no text leaves its task, and at most one sequence a partition
-ends short of its tokens, but for those that end at the limit of segments. A sequence's id is the partition's number times 2**33 plus its number there. A lost task packs its own rows
+ends short of its tokens, but for those that end at a limit of segments or loss-bearing tokens. Unless it is given, there
+is no such limit: every segment has a token. A sequence's id is the partition's number times 2**33 plus its number there. A lost task packs its own rows
 again; the pieces of a document never meet another task's.
 
-Nulls and edge cases: a null or empty text is its end token only. Very long texts are cut over many sequences.
-Repeated rows are packed each for itself; an empty table gives no pieces. Other columns are dropped by the query.
+Nulls and edge cases: a null or empty text is its end token only; a null id is carried along. Very long texts are cut
+over many sequences, without a copy of what is left. Of examples that score the same the first waiting goes first.
+Repeated rows are packed each for itself; an empty table gives no pieces. Other columns, whatever their names, are
+dropped.
 """
 
 from __future__ import annotations
@@ -64,6 +67,10 @@ def _word_merger(path: str):
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: What the words in a cache and their ids may take together, in bytes.
+CACHE = 32 << 20
+
+
 class WordCache(dict):
     """The ids of one word's bytes, as little-endian 32-bit integers; a word is what lies between ASCII white space.
 
@@ -71,22 +78,34 @@ class WordCache(dict):
     Latin letters, and punctuation after it, are each one token group and are merged directly; every other
     word goes through the tokenizer itself. Both ways give the same ids."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most, self.merge = Tokenizer.from_file(path), most, _word_merger(path)
         self.runs: dict[str, bytes] = {}
+        self.held = 0
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         ids = self._ids(word)
         if len(word) < 64:
+            self._count(len(word) + len(ids))
             self[word] = ids
         return ids
 
+    def _count(self, size: int) -> None:
+        """An entry costs about 200 bytes besides its own: two objects and its place in the table."""
+        self.held += size + 200
+        if self.held > self.most:
+            self.forget()
+            self.held = size + 200
+
+    def forget(self) -> None:
+        self.clear()
+        self.runs.clear()
+        self.held = 0
+
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if self.merge and (m := _WORD.fullmatch(text)) and not any(map(word.__contains__, self.special)):
@@ -96,9 +115,10 @@ class WordCache(dict):
 
     def _run(self, run: str) -> bytes:
         if (ids := self.runs.get(run)) is None:
-            if len(self.runs) >= self.most:
-                self.runs.clear()
-            ids = self.runs[run] = _packed(self.merge(run.encode())) if run else b""
+            ids = _packed(self.merge(run.encode())) if run else b""
+            if len(run) < 64:
+                self._count(4 * len(run) + len(ids))
+                self.runs[run] = ids
         return ids
 
 
@@ -116,26 +136,33 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def forget() -> None:
+    """Empties the word caches; the tokenizers stay."""
+    for cache in _caches.values():
+        cache.forget()
+
+
 class Packer:
     """Places examples as they come. `emit(key, start, ids, sequence, offset)` is called for each piece."""
 
-    def __init__(self, emit: Callable, tokens: int = 2048, segments: int = 256, loss: int | None = None, window: int = 256):
-        self.cap = np.array([tokens, segments, loss or tokens], float)
+    def __init__(self, emit: Callable, tokens: int = 2048, segments: int | None = None, loss: int | None = None, window: int = 256):
+        self.cap = np.array([tokens, segments or tokens, loss or tokens], float)
         self.emit, self.window = emit, window
-        self.keys: list = []  # waiting: (key, start, ids, loss share)
-        self.need = np.zeros((0, 3))
+        self.waiting: list = []  # (key, start, ids, loss-bearing tokens left)
+        self.need = np.zeros((window, 3))  # a row for each that waits
         self.left, self.sequence, self.offset = self.cap.copy(), 0, 0
 
     def add(self, key: object, ids: bytes, loss: int | None = None) -> None:
         """loss: how many of the example's last tokens bear loss; all, unless given."""
         n = len(ids) // 4
-        self.keys.append((key, 0, ids, n if loss is None else loss))
-        self.need = np.vstack([self.need, [n, 1, n if loss is None else loss]])
-        while len(self.keys) >= self.window:
+        loss = n if loss is None else loss
+        self.need[len(self.waiting)] = (n, 1, loss)
+        self.waiting.append((key, 0, ids, loss))
+        while len(self.waiting) >= self.window:
             self._place()
 
     def finish(self) -> None:
-        while self.keys:
+        while self.waiting:
             self._place()
         self._close()
 
@@ -144,31 +171,30 @@ class Packer:
             self.sequence, self.offset, self.left = self.sequence + 1, 0, self.cap.copy()
 
     def _place(self) -> None:
-        fits = (self.need <= self.left).all(axis=1)
-        weighted = self.left / self.cap**2
-        score = self.need @ weighted
+        need = self.need[: len(self.waiting)]
+        fits = (need <= self.left).all(axis=1)
+        score = need @ (self.left / self.cap**2)
         if fits.any():
             k = int(np.where(fits, score, -1).argmax())
         else:
             if self.left[1] < 1 or self.left[0] < 1:
                 return self._close()
             k = int(score.argmax())
-        key, start, ids, loss = self.keys[k]
-        n = int(self.need[k, 0])
+        key, start, ids, loss = self.waiting[k]
+        n = int(need[k, 0])
         take = n if fits[k] else self._cut(n, loss)
         if not take:
             return self._close()
-        self.emit(key, start, ids[: 4 * take], self.sequence, self.offset)
+        self.emit(key, start, ids[4 * start : 4 * (start + take)], self.sequence, self.offset)
         lossy = max(0, take - (n - loss))
         self.left -= (take, 1, lossy)
         self.offset += take
         if take == n:
-            self.keys[k] = self.keys[-1]
-            self.need[k] = self.need[-1]
-            self.keys.pop()
-            self.need = self.need[:-1]
+            self.waiting[k] = self.waiting[-1]
+            self.need[k] = need[-1]
+            self.waiting.pop()
         else:
-            self.keys[k] = (key, start + take, ids[4 * take :], loss - lossy)
+            self.waiting[k] = (key, start + take, ids, loss - lossy)
             self.need[k] = (n - take, 1, loss - lossy)
         if self.left[0] < 1 or self.left[1] < 1:
             self._close()
@@ -183,7 +209,7 @@ class Packer:
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: int = 2048, segments: int = 256, window: int = 256, with_ids: bool = False, loss: str | None = None, loss_capacity: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: int = 2048, segments: int | None = None, window: int = 256, with_ids: bool = False, loss: str | None = None, loss_capacity: int | None = None) -> DataFrame:
     """A row for each piece. with_ids adds the ids themselves, an array of integers.
 
     loss names a column that says how many of a row's last tokens, its end token among them, bear loss (null: all);
@@ -225,7 +251,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", to
         packer.finish()
         yield out()
 
-    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(tidy(run), schema)
+    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(tidy(run, forget), schema)
 
 
 def tokenizer_path() -> str:

@@ -218,3 +218,17 @@ def test_packing_frames_respect_the_loss_limit(spark):
         assert sum(r.length for r in own) == n and sum(r.loss_tokens for r in own) == want
         for r in own:
             assert r.loss_tokens == sum(r.start <= x < r.start + r.length for x in range(n - want, n))
+
+
+def test_packing_of_tiny_and_huge_documents(spark):
+    pytest.importorskip("tokenizers")
+    tiny = docs(spark, *["a b c d"] * 5000).coalesce(1).withColumn("sequence_id", F.lit("clash"))
+    got = packing.pack(tiny, packing.tokenizer_path()).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(got) == 13 and sorted(r.n for r in got)[1:] == [2048] * 12
+    pieces_, n = [], 3_000_000
+    p = packing.Packer(lambda key, start, ids, seq, off: pieces_.append((start, len(ids) // 4, seq, off)), window=4)
+    p.add("long", bytes(4 * n))
+    p.finish()
+    assert [x[0] for x in pieces_] == list(range(0, n, 2048)) and sum(x[1] for x in pieces_) == n
+    odd = spark.createDataFrame([(None, "x"), (1, "same"), (1, "same")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.start) for r in packing.pack(odd, packing.tokenizer_path()).collect()) == [(0, 0), (1, 0), (1, 0)]
