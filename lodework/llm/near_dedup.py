@@ -9,12 +9,14 @@ and then on full sets: those of its largest component stay where they are, and o
 block. Only links leave a block. So a group of thousands of copies costs a few rows a member and band rather than
 all its pairs, and no link between a bucket's members is lost.
 
-With ROWS rows in each of BANDS bands, a pair at similarity 0.8 shares no bucket with a probability of 7e-6.
+With ROWS rows in each of BANDS bands, a pair at similarity 0.8 shares no bucket with a probability of 7e-6, and its
+sketches differ too much with one of 3e-7.
 
 Nulls and edge cases: a text that is null or has no word has an empty set and is linked with nothing; one with
-fewer words than a shingle takes has its whole sequence as the only shingle. Ids are taken to be unique; rows that
-repeat an id are one document for linking and are all returned. A null id is linked with nothing. Very long texts
-are hashed whole, in blocks. An empty table gives no row.
+fewer words than a shingle takes has its whole sequence as the only shingle. Rows that repeat an id are one document,
+linked by each of its texts; all are returned, each with its own n_shingles and the same component. A null id is
+linked with nothing. Ties don't arise: the smallest id of a class, a bucket or a component stands for it. Very long
+texts are hashed whole, in blocks. Columns beyond doc_id and text are ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -131,13 +133,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}  # rows come by v, so a hot one's set is made once a task
+        last, b = None, np.zeros(0, np.uint64)  # rows come by v, so a hot one's set is made once a task
         for batch in batches:
             keep = []
             for v, tu, tv in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if v not in last:
-                    last = {v: shingles(tv, n)}
-                a, b = shingles(tu, n), last[v]
+                if (v, tv) != last:
+                    last, b = (v, tv), shingles(tv, n)
+                a = shingles(tu, n)
                 both = np.concatenate([a, b])
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
@@ -271,24 +273,28 @@ def _in_blocks(rows: DataFrame, kind: type, what: str, out: str, keyed: bool, **
     return dealt.select("band", "part", "doc_id", "component", "stays", "own", what).mapInArrow(tidy(run), out)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 8192, grams: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (whether that is its own)."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 2048, grams: int = 1 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (whether that is its own).
+
+    A hot bucket's rows are dealt to parts of about `block` rows and `grams` shingles."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.write(_signed(docs, shingle))
     sound = signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     reps = sound.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    own = scratch.write(sound.join(reps, "cls").select("doc_id", "rep"))
-    only = own.where("doc_id = rep").select("doc_id").distinct()
-    chosen = scratch.write(signed.join(only, "doc_id").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]))
+    own = scratch.write(sound.join(reps, "cls").select("doc_id", "rep").distinct())
+    # One row for each class; an id whose rows have several texts may stand for several classes.
+    chosen = scratch.write(sound.join(reps.withColumnRenamed("rep", "doc_id"), ["cls", "doc_id"]).dropDuplicates(["cls"]).select("doc_id", "n_shingles", "bands", "sketch"))
+    # Such an id links its classes.
+    ties = own.join(own.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1"), "doc_id").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     sketches = chosen.select("doc_id", "sketch")
     bands = chosen.select(F.explode("bands").alias("band"), "doc_id", "n_shingles")
     buckets = scratch.write(bands.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1"))
     members = scratch.write(bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "least", "many"))
     stars = scratch.write(members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct())
     near = scratch.write(_near(stars, sketches, percent))
-    links = scratch.write(_linked(near, docs, shingle, percent))
+    links = scratch.write(_linked(near, docs, shingle, percent).unionAll(ties))
     comps = scratch.write(components(links, scratch))
     # Buckets of three and more that still hold several components: what the comparison with the smallest has left open.
     several = members.where("many > 2").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

@@ -306,3 +306,29 @@ def test_repeats_with_odd_columns(spark):
     df = spark.createDataFrame([(1, text, "a", 5), (2, "x " + text, "b", 5), (None, text, "c", 5), (2, None, "d", 5), (2, "x " + text, "e", 5)], "doc_id int, text string, _idents string, masks int")
     got = {(r._idents): (r.doc_id, r.text, r.masks) for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == {"a": (1, text, 5), "b": (2, "x ", 5), "c": (None, text, 5), "d": (2, None, 5), "e": (2, "x ", 5)}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id whose rows have different texts links what its texts are near to, whatever the order of rows."""
+    words = [f"w{k}" for k in range(120)]
+    a, b = " ".join(words[:60]), " ".join(words[60:])
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "other " * 3), (5, a), (6, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
+        got = near_dedup.near_duplicates(df, shingle=2).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6)]
+
+
+@pytest.mark.parametrize("parts", [{"block": 5}, {"block": 10_000, "grams": 150}])
+def test_near_duplicates_in_several_parts(spark, parts):
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(120):
+        words = base[:]
+        for _ in range(int(rng.integers(0, 14))):
+            words[int(rng.integers(40))] = f"v{int(rng.integers(60))}"
+        texts.append(" ".join(words))
+    want, _ = exact_components(texts, 2, 80)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(pdocs(spark, texts), shingle=2, **parts).collect()}
+    assert [got[i] for i in range(len(texts))] == want
