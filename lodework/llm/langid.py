@@ -1,16 +1,22 @@
-"""Language identification: averaged hashed subword embeddings and a linear softmax.
+"""Language identification: averaged hashed subword embeddings and a linear softmax, with calibrated rejection.
 
 A text's vector is the mean of the embeddings of its hashed character n-grams; a linear softmax over it gives
 the language. Both are learned by stochastic gradient descent in numpy on a bounded sample of labelled rows.
-A held-back part of that sample sets the temperature (so that scores are probabilities) and the score under
-which a text is rejected.
+
+Buckets that no training text has hold nothing. So a text shows how much of it is known: the share of its trigrams that
+are. Its score is the softmax's probability times that share. A held-back part of the sample, at several lengths,
+sets what makes scores probabilities: a temperature, and how much less a short text tells. The score under which a
+text is rejected, one for short texts and one for others, is what all but a few of the held-back texts reach, or less
+where texts made of them by shuffling letters, by random letters and by another script score far below: then half-way.
 
 As the mean and the softmax's weights are linear, the trained tables fold into one row of weights a bucket, so
-a prediction is one table look-up an n-gram over the whole text, done for a batch of texts at once.
+a prediction is one table look-up an n-gram over the whole text, done for a batch of texts at once. Weights are whole
+numbers of a small unit, so that sums don't depend on where a long text is cut.
 
 Nulls and edge cases: a null text, or one without a letter, is `und` with score 0 and rejected. With no
 labelled row at all every text is `und`. Ties go to the language that sorts first. Repeated rows are
-predicted one by one. Columns named like the result's are replaced, others are carried along.
+predicted one by one; a null id is not held out. Very long texts go through in pieces that overlap by what an n-gram
+needs, with the same result. Columns named like the result's are replaced, others are carried along.
 """
 
 from __future__ import annotations
@@ -28,6 +34,11 @@ from .common import table, tidy
 
 UND = "und"
 ORDERS = (2, 3)
+#: Texts of fewer trigrams count as short ones.
+SHORT = 30
+#: The model holds a row of weights a language, so there may be so many at most.
+MOST_LANGUAGES = 1000
+_UNIT = 1 / 65536
 OUT = "lang_pred string, score double, rejected boolean"
 
 _letters: list[np.ndarray] = []
@@ -42,21 +53,29 @@ def _is_letter() -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """weights: one row a bucket and one for the bias, languages in columns, already divided by the temperature."""
+    """weights: a row a bucket, languages in columns, in whole units; known: whether a training text has the bucket.
+
+    A text's logits are the mean of its n-grams' weights times n / (n + slack), and the bias. thresholds: for short texts and
+    for others. stopped: the share of made-up texts that the thresholds reject, by kind."""
 
     langs: tuple[str, ...]
     weights: np.ndarray
+    known: np.ndarray
     bias: np.ndarray
     bits: int
-    threshold: float
+    slack: float
+    thresholds: tuple[float, float]
+    stopped: tuple[tuple[str, float], ...] = ()
 
 
-def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, text of each n-gram) over all texts. Anything but a letter is a blank; an n-gram
-    begins at a letter or at the blank before one, and never reaches into the next text."""
+def features(texts: list[str], bits: int, own: list[int] | None = None, first: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bucket of each n-gram, text of each n-gram, how many of them, the first ones, are no trigrams) over all texts, which are in
+    lower case. Anything but a letter is a blank; an n-gram begins at a letter or at the blank before one, and never
+    reaches into the next text. own: only n-grams that begin in so many first characters count; first: whether a
+    text's beginning is one, and not a cut."""
     pad = " " * max(ORDERS)
-    joined = ("".join([pad + t for t in texts]) + pad).lower()
-    lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
+    joined = "".join([pad + t for t in texts]) + pad
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     # the blank before a text's first letter is its own, so the padding goes before it
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + len(pad))
@@ -65,7 +84,12 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     code = np.where(letter, chars, np.uint32(32))
     starts = letter.copy()
     starts[:-1] |= letter[1:]
-    buckets, owners = [], []
+    if own:
+        begin = np.cumsum(lengths + len(pad)) - lengths
+        for k in np.flatnonzero((np.array(own) < lengths) | ~np.array(first)):
+            starts[begin[k] + own[k] : begin[k] + lengths[k]] = False
+            starts[begin[k] - len(pad) : begin[k]] &= first[k]
+    buckets, owners, before = [], [], 0
     rolled = np.zeros(len(code), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         rolled = rolled[: len(code) - n + 1] * np.uint32(0x01000193) + code[n - 1 :] if n > 1 else code.copy()
@@ -76,11 +100,12 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
             mixed *= np.uint32(0x85EBCA6B)
             buckets.append((mixed >> np.uint32(32 - bits)).astype(np.int32))
             owners.append(owner[at])
-    return np.concatenate(buckets), np.concatenate(owners)
+            before += len(at) if n < 3 else 0
+    return np.concatenate(buckets), np.concatenate(owners), before
 
 
 def _bags(texts: list[str], bits: int) -> list[np.ndarray]:
-    b, o = features(texts, bits)
+    b, o, _ = features([t.lower() for t in texts], bits)
     order = np.argsort(o, kind="stable")
     return np.split(b[order], np.searchsorted(o[order], np.arange(1, len(texts))))
 
@@ -90,18 +115,33 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 5, batch: int = 32, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> Model:
-    """Texts are cut to windows by the caller. keep: the share of held-back texts, predicted rightly, that the
-    rejection threshold lets through; at most 0.5 is ever asked for."""
+def _made_up(texts: list[str], rng: np.random.Generator) -> dict[str, list[str]]:
+    """Texts in no language: letters shuffled, words of random letters, and another script, all at a text's length."""
+    letters = sorted({c for t in texts for c in t.lower() if c.isascii() and c.isalpha()}) or list("abcdefghijklmnopqrstuvwxyz")
+    out: dict[str, list[str]] = {"shuffled": [], "random": [], "foreign": []}
+    for t in texts:
+        own = [c for c in t if c.isalpha()]
+        rng.shuffle(own)
+        rest = iter(own)
+        out["shuffled"].append("".join(next(rest) if c.isalpha() else c for c in t))
+        out["random"].append("".join(letters[int(rng.integers(len(letters)))] if c.isalpha() else c for c in t))
+        shift = int(rng.integers(0x4E00, 0x9000))
+        out["foreign"].append("".join(chr(shift + ord(c) % 0x300) if c.isalpha() else c for c in t))
+    return out
+
+
+def train(texts: list[str], langs: list[str], bits: int = 18, dim: int = 16, epochs: int = 5, batch: int = 32, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> Model:
+    """Texts are cut to windows by the caller. keep: the share of held-back texts that the rejection lets through."""
     names = tuple(sorted(set(langs)))
+    none = Model(names, np.zeros((1 << bits, len(names)), np.float32), np.zeros(1 << bits, bool), np.zeros(len(names)), bits, 1.0, (0.0, 0.0))
     if not names:
-        return Model((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), bits, 1.0)
+        return none
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
     bags = _bags(texts, bits)
     use = np.array([i for i, b in enumerate(bags) if len(b)])
     if not len(use):
-        return Model(names, np.zeros((1 << bits, len(names)), np.float32), np.zeros(len(names)), bits, 0.0)
+        return none
     rng.shuffle(use)
     held, fit = (use[: len(use) // 5], use[len(use) // 5 :]) if len(use) >= 50 else (use, use)
     emb = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
@@ -127,71 +167,99 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
             for d in range(dim):
                 emb[flat, d] -= np.bincount(inverse, grad[rows, d], len(flat)).astype(np.float32)
             step += 1
-    folded = emb.astype(np.float64) @ w
-
-    def logits(which: np.ndarray) -> np.ndarray:
-        return np.array([folded[bags[j]].mean(axis=0) + b for j in which])
-
-    z, want = logits(held), y[held]
-    best, temper = np.inf, 1.0
-    for t in np.geomspace(0.05, 20, 60):
-        loss = -np.log(_softmax(z / t)[np.arange(len(held)), want] + 1e-12).mean()
-        if loss < best - 1e-12:
-            best, temper = loss, t
-    p = _softmax(z / temper)
-    right = p.max(axis=1)[p.argmax(axis=1) == want]
-    threshold = min(0.5, float(np.quantile(right, 1 - keep))) if len(right) else 0.0
-    return Model(names, (folded / temper).astype(np.float32), b / temper, bits, threshold)
-
-
-def predict(model: Model, texts: list[str | None], block: int = 500_000) -> list[tuple[str, float, bool]]:
-    """For each whole text its language, the calibrated score and whether it is rejected. Texts go through in
-    groups of about `block` characters; longer ones are summed piece by piece, without overlap: the few n-grams
-    across a cut are not counted, and each cut counts as a blank."""
-    out: list[tuple[str, float, bool]] = []
+    known = np.zeros(1 << bits, bool)
+    known[np.concatenate([bags[j] for j in fit])] = True
+    folded = np.where(known[:, None], emb.astype(np.float64) @ w, 0.0)
+
+    # held-back texts whole, as 40 characters and as a word
+    back = [texts[j] for j in held]
+    words = [max(t[len(t) // 2 :].split() or [t], key=len) for t in back]
+    sizes = [back, [t[:40] for t in back], words]
+    want = np.tile(y[held], 3)
+    sums = Model(names, np.round(folded / _UNIT).clip(-(1 << 23), 1 << 23).astype(np.float32), known, b, bits, 0.0, (0.0, 0.0))
+    total, count, seen, three = _sums(sums, [t for part in sizes for t in part])
+    some = count > 0
+    total, count, want = total[some], count[some], want[some]
+    best, temper, slack = np.inf, 1.0, 1.0
+    for s in (0.0, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
+        z = total * _UNIT / (count + s)[:, None] + b
+        for t in np.geomspace(0.05, 20, 60):
+            loss = -np.log(_softmax(z / t)[np.arange(len(want)), want] + 1e-12).mean()
+            if loss < best - 1e-12:
+                best, temper, slack = loss, float(t), s
+    model = Model(names, np.round(folded / temper / _UNIT).clip(-(1 << 23), 1 << 23).astype(np.float32), known, b / temper, bits, slack, (0.0, 0.0))
+    good = _scored(model, [t for part in sizes for t in part])[1:]
+    made = {kind: _scored(model, texts)[1:] for kind, texts in _made_up([t for part in sizes[:2] for t in part], rng).items()}
+    limits = []
+    for k in (True, False):
+        own = good[0][(good[1] == k) & (good[0] > 0)]
+        bad = np.concatenate([score[short == k] for score, short in made.values()])
+        least = float(np.quantile(own, 1 - keep)) if len(own) else 0.0
+        limits.append(min(least, (least + float(np.quantile(bad, keep))) / 2) if len(bad) else least)
+    limits = tuple(limits)
+    stopped = [(kind, float((score < np.where(short, *limits)).mean())) for kind, (score, short) in made.items()]
+    return Model(names, model.weights, known, model.bias, bits, slack, limits, tuple(stopped))
+
+
+def _sums(model: Model, texts: list[str | None], block: int = 500_000) -> tuple[np.ndarray, ...]:
+    """For each whole text its n-grams' weights, added up; their number; its known trigrams; its trigrams. Texts go through in
+    groups of about `block` characters."""
     total = np.zeros((len(texts), len(model.langs)))
-    count = np.zeros(len(texts), np.int64)
+    count, seen, three = (np.zeros(len(texts), np.int64) for _ in range(3))
+    group: list[tuple[int, str, int, bool]] = []
 
-    def flush(group: list[tuple[int, str]]) -> None:
-        b, o = features([t for _, t in group], model.bits)
+    def flush() -> None:
+        ids, parts, own, first = zip(*group, strict=True)
+        group.clear()
+        b, o, two = features(list(parts), model.bits, list(own), list(first))
         if not len(b):
             return
-        ids = np.array([i for i, _ in group])
-        n = np.bincount(o, minlength=len(group))
         for k in range(len(model.langs)):
-            np.add.at(total[:, k], ids, np.bincount(o, model.weights[b, k], len(group)))
-        np.add.at(count, ids, n)
+            np.add.at(total[:, k], list(ids), np.bincount(o, model.weights[b, k], len(ids)))
+        for to, n in ((count, np.bincount(o, minlength=len(ids))), (seen, np.bincount(o[two:], model.known[b[two:]], len(ids))), (three, np.bincount(o[two:], minlength=len(ids)))):
+            np.add.at(to, list(ids), n.astype(np.int64))
 
-    group: list[tuple[int, str]] = []
     size = 0
     for i, t in enumerate(texts):
-        for a in range(0, len(t or ""), block):
-            group.append((i, t[a : a + block]))
+        t = (t or "").lower()
+        for a in range(0, len(t), block):
+            group.append((i, t[a : a + block + max(ORDERS)], min(block, len(t) - a), a == 0))
             size += len(group[-1][1])
             if size >= block:
-                flush(group)
-                group, size = [], 0
+                flush()
+                size = 0
     if group:
-        flush(group)
-    if not model.langs:
-        return [(UND, 0.0, True)] * len(texts)
-    p = _softmax(total / np.maximum(count, 1)[:, None] + model.bias)
+        flush()
+    return total, count, seen, three
+
+
+def _scored(model: Model, texts: list[str | None], block: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its best language (-1: none), score, and whether it is short."""
+    total, count, seen, three = _sums(model, texts, block)
+    p = _softmax(total * _UNIT / np.maximum(count + model.slack, 1)[:, None] + model.bias)
     best = p.argmax(axis=1)
-    for i, k in enumerate(best):
-        if count[i]:
-            out.append((model.langs[k], float(p[i, k]), bool(p[i, k] < model.threshold)))
-        else:
-            out.append((UND, 0.0, True))
-    return out
+    score = p[np.arange(len(p)), best] * seen / np.maximum(three, 1)
+    return np.where(count > 0, best, -1), np.where(count > 0, score, 0.0), three < SHORT
+
+
+def predict(model: Model, texts: list[str | None], block: int = 500_000) -> list[tuple[str, float, bool]]:
+    """For each whole text its language, the calibrated score and whether it is rejected."""
+    if not model.langs or not texts:
+        return [(UND, 0.0, True)] * len(texts)
+    best, score, short = _scored(model, texts, block)
+    low = score < np.where(short, *model.thresholds)
+    return [(model.langs[k], float(s), bool(r)) if k >= 0 else (UND, 0.0, True) for k, s, r in zip(best, score, low, strict=True)]
 
 
 def training_sample(docs: DataFrame, eligible: Column, per_lang: int = 1500, window: int = 1000) -> tuple[list[str], list[str]]:
     """A bounded, repeatable sample for each language: about per_lang of its eligible rows, by a hash of the id,
     and of each one window of text at a place given by the same hash."""
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return [], []
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_lang / n))])
     h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - window, F.lit(1)))
@@ -201,9 +269,9 @@ def training_sample(docs: DataFrame, eligible: Column, per_lang: int = 1500, win
         .limit(4 * per_lang * len(counts))
         .collect()
     )
-    found.sort(key=lambda r: (r.doc_id, r.lang, r.text))
+    found.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.lang, r.text))
     texts, langs = [r.text for r in found], [r.lang for r in found]
-    short = [t[k : k + 40] for t in texts for k in [len(t) // 3]]  # so that scores hold for short texts, too
+    short = [t[k : k + 40] for t in texts for k in [len(t) // 3]]  # so that short texts are known, too
     return texts + short, langs + langs
 
 
@@ -223,7 +291,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 #: In the query, ids whose checksum is divisible by 5 are held out from training.
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learned(docs: DataFrame) -> Model:
