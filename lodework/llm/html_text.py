@@ -1,7 +1,7 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page is read into a tree of its block elements. Paragraphs (p, pre, td, blockquote, and other blocks with text of
-their own) make points: one, one a comma, and one per hundred characters up to three. The points pass to the
+their own) make points: one, one a comma, and one per hundred characters up to three. The points pass to the nearest
 ancestors, whole to the parent, half to the next and less above, and are discounted by the share of the text that
 stands in links. The best container, and those of its siblings that score near it or read like paragraphs, are
 kept; elements that are navigation, notices, adverts, forms and the like by tag, role or class are not, wherever
@@ -11,7 +11,8 @@ The text of the kept blocks comes in page order: character references decoded, w
 into one space, blocks joined by one space.
 
 Nulls and edge cases: a null or empty html gives an empty text; markup that is cut off or badly nested is read as
-far as it goes; a page with no block of text of its own gives what its body holds. Very long pages are read whole.
+far as it goes; a page with no block of text of its own gives what its body holds. Of containers that score the same
+the first is kept. Very long and deeply nested pages are read whole, in time that grows with their length.
 Repeated rows are extracted one by one. Columns named like the result's are replaced, others are carried along.
 """
 
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,8 @@ from .common import table, tidy
 
 # HTML's element kinds, as far as they matter here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noframes noembed svg math canvas object select".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
+SKIPPED = frozenset("template svg math canvas object select".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form button dialog menu head fieldset".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -42,8 +46,10 @@ REMARKS = frozenset("comment comments reply replies ad advert sponsored teaser r
 UNLIKELY = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social sidebar aside rail menu nav navbar navigation navi breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar comment comments disqus respond "
-    "discussion replies reply related recommended recommendations outbrain taboola widget widgets skip search copyright legal disclaimer feedback hidden teaser teasers trending".split()
+    "discussion replies reply related recommended recommendations outbrain taboola widget widgets skip copyright legal disclaimer feedback hidden teaser teasers trending".split()
 )
+#: Points pass to so many ancestors.
+REACH = 5
 LIKELY = frozenset("article body content entry hentry main page post text blog story prose".split())
 
 _TOKEN = re.compile(
@@ -59,13 +65,20 @@ class Page:
     """The tree of one page's blocks. Node 0 is the root; parents have smaller numbers than their children."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped, self.weight, self.soft = [""], [-1], [False], [0], [False]
+        self.tag, self.parent, self.dropped, self.weight, self.soft, self.inside = [""], [-1], [False], [0], [False], [False]
         self.runs: list[tuple[int, str, bool]] = []  # (block, text, in a link); "" ends a block's run
         self._read(source)
 
     def _read(self, source: str) -> None:
         stack, links, at, n = [0], 0, 0, len(source)
         hidden_inline: list[str] = []
+        opened: Counter[str] = Counter()  # elements on the stack, by name
+        endless: set[str] = set()  # names that nothing closes from here on
+
+        def close(k: int) -> None:
+            opened.subtract(self.tag[i] for i in stack[k:])
+            del stack[k:]
+
         while at < n:
             lt = source.find("<", at)
             m = None
@@ -81,10 +94,14 @@ class Page:
             if not name:
                 continue
             closing, attrs = m[1] or m[4], m[3] or m[6] or ""
-            if name in RAW:
-                if not closing and not attrs.endswith("/"):
+            if name in RAW or name in SKIPPED:
+                # without its end tag an element of raw text goes on to the page's end; of any other only the tag goes
+                if not closing and not attrs.endswith("/") and name not in endless:
                     shut = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(source, at)
-                    at = shut.end() if shut else n
+                    if shut or name in RAW:
+                        at = shut.end() if shut else n
+                    else:
+                        endless.add(name)
                 self.runs.append((stack[-1], "", False)) if name in ("select", "textarea") else None
             elif name == "a":
                 links = 0 if closing else 1
@@ -93,23 +110,24 @@ class Page:
             elif name in BLOCK:
                 self.runs.append((stack[-1], "", False))
                 if closing:
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                         if self.tag[stack[k]] == name:
-                            del stack[k:]
+                            close(k)
                             links = 0
                             break
                         if name == "p" and self.tag[stack[k]] not in HEADING:
                             break
                 else:
                     if name in ENDS_P and self.tag[stack[-1]] == "p":
-                        stack.pop()
-                    for k in range(len(stack) - 1, 0, -1) if name in CLOSES else ():
+                        close(len(stack) - 1)
+                    for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in CLOSES.get(name, ())) else ():
                         if self.tag[stack[k]] in SCOPE[name]:
                             break
                         if self.tag[stack[k]] in CLOSES[name]:
-                            del stack[k:]
+                            close(k)
                             break
                     stack.append(self._node(name, attrs, stack[-1]))
+                    opened[name] += 1
             elif not closing and attrs and name not in VOID and not attrs.endswith("/") and self._judge(name, attrs)[0] == "hidden":
                 hidden_inline.append(name)
             elif closing and hidden_inline and hidden_inline[-1] == name:
@@ -127,10 +145,11 @@ class Page:
 
     def _node(self, name: str, attrs: str, parent: int) -> int:
         why, weight = self._judge(name, attrs) if attrs else ("", 0)
-        inside = any(self.tag[p] in ("article", "main") for p in self._up(parent))
+        inside = self.inside[parent] or self.tag[parent] in ("article", "main")
         out = name in NEVER or why == "hidden" or name == "header" and not inside
         self.tag.append(name)
         self.parent.append(parent)
+        self.inside.append(inside)
         self.dropped.append(out)
         self.soft.append(why in ("class", "remark") and name not in ("html", "body", "main") and (name != "article" or why == "remark") or name == "header" and inside)
         self.weight.append(weight + (25 if name in ("article", "main") else 0))
@@ -162,7 +181,7 @@ class Page:
             if own[k] and tag[k] not in HEADING:
                 points = (1 + commas[k] + min(own[k] / 100, 3)) * (1 - linked[k] / own[k])
                 share = 1.0
-                for depth, p in enumerate(self._up(parent[k])):
+                for depth, p in enumerate(islice(self._up(parent[k]), REACH)):
                     score[p] += points * share
                     share = 0.5 if depth == 0 else 1 / (3 * (depth + 1))
                 if tag[k] not in ("p", "td", "li", "pre", "blockquote"):
@@ -183,7 +202,8 @@ class Page:
                 prose = tag[k] == "p" and (length[k] > 80 and density[k] < 0.25 or 0 < length[k] <= 80 and not linked[k])
                 if near or prose or tag[k] in HEADING and k < best:
                     keep.add(k)
-        lists = {k for k in range(1, n) if tag[k] in ("ul", "ol", "dl", "div", "section", "table") and density[k] > 0.5 and k not in keep}
+        # Inside an article its lists of links belong to it, unless tag, role or class speaks against them.
+        lists = {k for k in range(1, n) if tag[k] in ("ul", "ol", "dl", "div", "section", "table") and density[k] > 0.5 and k not in keep and not self.inside[k]}
         kept = [False] * n
         kept[0] = best == 0
         for k in range(1, n):
