@@ -1,25 +1,33 @@
 """Secret scanning: pattern candidates, and a random forest that removes false positives.
 
-Candidates are values of assignments to secret-sounding names, tokens of well-known forms, private key blocks, and long
-mixed runs of characters. A random forest then judges each by its length, its character transitions, how much of it
-a dictionary covers, the path it stands in and the words next to it. The forest is trained from labelled findings:
-those given, or else a labelled set made by rule (SAMPLE findings, from a fixed seed), as the tables have none.
-
-Nulls and edge cases: a null or empty text has no finding. Findings of one text don't overlap; of overlapping
-candidates the first stays, then the longest. Very long texts are scanned whole. Repeated rows are scanned one by
-one. With no labelled finding of one of the two kinds every candidate counts as a secret. An empty table gives no row.
+Candidates are values of assignments to names with a secret-sounding part, passwords in addresses, tokens of well-known
+forms, private key blocks, and long mixed runs of characters; each is taken whole, however long. A random forest then
+judges each by its length, its character transitions, how much of it a dictionary covers, the path it stands in and the
+words next to it. The forest is trained from labelled findings: those given, or else a labelled set made by rule
+(SAMPLE findings, from a fixed seed), as the tables have none. The dictionary is the whole words of a public
+tokenizer's vocabulary.
+
+Nulls and edge cases: a null or empty text has no finding; without a column for the path, or where it is null, no path
+speaks for or against. Findings of one text don't overlap; of overlapping candidates the first stays, of those that
+begin together the longest, of equal ones the first kind in the order above. Very long texts are scanned whole. Repeated
+rows are scanned one by one. With no labelled finding of one of the two kinds every candidate counts as a secret.
+Columns named like the result's don't matter to it; redact_documents() keeps all columns. An empty table gives no row.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import table, tidy
@@ -31,32 +39,56 @@ THRESHOLD = 0.5
 FORMS = {
     "aws_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "github": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,72}",
-    "stripe": r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,64}",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    "stripe": r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "google": r"AIza[0-9A-Za-z_\-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}",
 }
-NAMES = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|private_?key|auth|credential|client_?secret|bearer)s?$")
+NAMES = re.compile(r"(?i)pass(?:word|wd|phrase|code)|(?:^|[_\-])pass(?:$|[_\-])|pwd|secret|token|auth|credential|bearer|(?:api|access|account|client|encryption|master|private|secret|signing)[_\-]?key")
 _FORMS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
-_RUN = re.compile(r"[A-Za-z0-9+/_=\-]{20,512}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=\-]{20,}")
 _SIGN = re.compile(r":=|=>|[:=]")
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_\-]{1,60})[\"']?\s{0,4}$")
-_VALUE = re.compile(r"\s{0,4}([\"'`]?)([^\s\"'`,;<>(){}]{6,512})\1")
+_VALUE = re.compile(r"\s{0,4}([\"'`]?)([^\s\"'`,;<>(){}]{6,})\1")
+_ADDRESS = re.compile(r"://[^\s/:@]*:([^\s/@]{6,})@")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)", re.S)
 
-# Words that ordinary identifiers and placeholders are made of, and words that tell of their surroundings.
-WORDS = (
-    "access account admin alpha api app application author auth base beta build cache card change changeme class client code commit config connect content control count data database date default demo dev digest "
-    "document dummy email enable end error example fake false file filter first foo form function group handler hash head home host http https image index info input item key lang last length level list local "
-    "localhost lock log login main manager map master me message method mock model module name network new node none null number object open option order output page param pass password path placeholder plugin "
-    "point port prod product project public query read record redacted reference release remote report request resource response result role root sample secret section select server service session set size some "
-    "source stage start state static status storage store string style super system table tag target task template temp test text this time title token tool true type unknown update upload url user util value "
-    "version view web window word world write xxx your"
-).split()
+# Words that placeholders and paths are made of, and words that tell of their surroundings.
+WORDS = "access account admin api app auth base build cache client config data default dev digest env file form group handler head home host index item level list local main manager method model name node order page path plugin point project public query request resource result role root server service session source state static store style system table target user value version view web".split()
 HASHY = frozenset("sha sha1 sha256 md5 crc commit checksum digest etag hash integrity revision rev uuid guid build version color id".split())
 SAMPLY = frozenset("example sample dummy fake placeholder test mock demo todo redacted changeme your".split())
 
-_words = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)))
+_dictionaries: dict[str, frozenset[str]] = {}
+
+
+def dictionary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def dictionary(path: str) -> frozenset[str]:
+    """The whole words of three to MOST letters of a vocabulary that marks word ends."""
+    if path not in _dictionaries:
+        model = json.loads(Path(path).read_text())["model"]
+        end = model["end_of_word_suffix"]
+        words = (w.removesuffix(end) for w in model["vocab"] if w.endswith(end))
+        _dictionaries[path] = frozenset(w for w in words if 3 <= len(w) <= MOST and w.isascii() and w.isalpha())
+    return _dictionaries[path]
+
+
+#: The longest words that the dictionary has.
+MOST = 14
+
+
+def covered(value: str, words: frozenset[str]) -> int:
+    """How many characters words of the dictionary cover, the longest first at each place."""
+    total = i = 0
+    while i < len(value) - 2:
+        n = next((n for n in range(min(MOST, len(value) - i), 2, -1) if value[i : i + n] in words), 0) if value[i].isalpha() else 0
+        total += n
+        i += n or 1
+    return total
 
 
 @dataclass(frozen=True)
@@ -80,6 +112,8 @@ def candidates(text: str) -> list[Finding]:
         name = _NAME.search(text, max(0, m.start() - 70), m.start())
         if name and NAMES.search(name[1]) and (v := _VALUE.match(text, m.end())):
             found.append((v.start(2), v.end(2), "assignment"))
+    for m in _ADDRESS.finditer(text) if "://" in text else ():
+        found.append((m.start(1), m.end(1), "address"))
     for m in _RUN.finditer(text):
         if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
             found.append((m.start(), m.end(), "run"))
@@ -96,25 +130,26 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(f: Finding, path: str | None) -> list[float]:
-    """One finding's numbers: its length, characters, transitions, dictionary coverage, path and neighbours."""
-    v = f.value[:512]
+def features(f: Finding, path: str | None, words: frozenset[str] | None = None) -> list[float]:
+    """One finding's numbers, over its whole value: its length, characters, transitions, dictionary coverage, path and
+    neighbours."""
+    words = dictionary(dictionary_path()) if words is None else words
+    v = f.value
     n = len(v)
     low = v.lower()
     kinds = [_kind(c) for c in v]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
     steps = sum(abs(ord(a) - ord(b)) <= 1 for a, b in zip(v, v[1:], strict=False))
     vowel = sum(a in "aeiou" and b.isalpha() and b not in "aeiou" for a, b in zip(low, low[1:], strict=False))
-    counts = np.array([v.count(c) for c in set(v)]) / n
-    covered = sum(len(m) for m in _words.findall(low))
+    counts = np.array([*Counter(v).values()]) / n
     near = re.findall(r"[a-z0-9]+", f.before.lower())[-4:]
     after = re.findall(r"[a-z0-9]+", f.after.lower())[:3]
     where = set(re.findall(r"[a-z]+", (path or "").lower()))
     return [
-        n, *(kinds.count(k) / n for k in range(4)), turns / n, steps / n, vowel / n, float(-(counts * np.log2(counts)).sum()), len(set(v)) / n, covered / n,
-        float(any(NAMES.search(w) for w in near)), float(bool(HASHY & set(near))), float(bool(SAMPLY & {*near, *after} or any(w in low for w in SAMPLY))),
+        n, *(kinds.count(k) / n for k in range(4)), turns / n, steps / n, vowel / n, float(-(counts * np.log2(counts)).sum()), len(set(v)) / n, covered(low, words) / n,
+        float(bool(NAMES.search(f.before[-30:]))), float(bool(HASHY & set(near))), float(bool(SAMPLY & {*near, *after} or any(w in low for w in SAMPLY))),
         float(bool(where & {"test", "tests", "example", "examples", "docs", "doc", "spec", "fixtures", "mock", "sample"})), float(bool(where & {"lock", "sum", "sums", "checksums", "vendor"})),
-        float({"private_key": 3, "assignment": 2, "run": 1}.get(f.rule, 3)),
+        float({"assignment": 2, "address": 2, "run": 1}.get(f.rule, 3)),
     ]
 
 
@@ -180,7 +215,7 @@ def labelled_findings(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, i
     rand = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
     word = lambda: pick(WORDS) if rng.random() < 0.4 else rand("aeiouaeiounrstlhdm", int(rng.integers(2, 9)))
     wide = string.ascii_letters + string.digits
-    names = ["token", "password", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "db_password", "TOKEN", "API_KEY"]
+    names = ["token", "password", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "db_password", "TOKEN", "API_KEY", "secret_key", "SIGNING_KEY", "token_value", "aws_secret_access_key", "PASSWD"]
     out = []
     for i in range(n):
         before, after = " ".join(word() for _ in range(4)), " ".join(word() for _ in range(3))
@@ -190,9 +225,18 @@ def labelled_findings(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, i
             kind = int(rng.integers(6))
             size = int(rng.integers(16, 64))
             value = [rand("0123456789abcdef", pick([32, 40, 48, 64])), rand(wide, size), rand(wide + "+/", size) + pick(["", "=", "=="]), rand("0123456789ABCDEF", pick([32, 40])), rand(wide + "!@#%^*", int(rng.integers(10, 24))), "AKIA" + rand(string.ascii_uppercase + string.digits, 16)][kind]
-            out.append((f"{before} {pick(names)}{sign}{quote}{value}{quote} {after}", path, 1))
+            where = int(rng.integers(6))
+            if where == 0:
+                text = f"Authorization: Bearer {value}"
+            elif where == 1 and not set(value) & set("/@#"):
+                text = f"{word()}://{word()}:{value}@{word()}.{word()}/{word()}"
+            elif where == 2:
+                text = f'"{pick(names)}": "{value}",'
+            else:
+                text = f"{pick(names)}{sign}{quote}{value}{quote}"
+            out.append((f"{before} {text} {after}", path, 1))
             continue
-        kind = int(rng.integers(8))
+        kind = int(rng.integers(10))
         if kind == 0:
             text = f"{pick(names)}{sign}{quote}{pick(['changeme', 'your_token_here', 'xxxxxxxxxxxxxxxx', 'example-secret-value', 'REDACTED_VALUE', '****************', '1234567890', 'placeholder_key'])}{quote}"
         elif kind == 1:
@@ -207,26 +251,32 @@ def labelled_findings(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, str, i
             text = f"{pick(names)}{sign}{quote}{'_'.join(word() for _ in range(3))}{quote}"
         elif kind == 6:
             text, path = f"{pick(names)}{sign}{quote}{rand(wide, 24)}EXAMPLE{quote} example", pick(["docs/example.md", "tests/test_auth.py"])
-        else:
+        elif kind == 7:
             text = f"https/{word()}/{word()}{int(rng.integers(1000))}/{word()}/{word()}"
+        elif kind == 8:
+            text = f'{pick(["integrity", "digest", "etag", "hash"])}{pick(["=", ": "])}"sha{pick([256, 384, 512])}-{rand(wide + "+/", pick([43, 64, 86]))}{pick(["", "=", "=="])}"'
+        else:
+            text = f"{pick(names)}{sign}{quote}{pick(['${', '{{ ', '%(', '<'])}{pick(WORDS)}.{pick(WORDS)}_{pick(WORDS)}{pick(['}', ' }}', ')s', '>'])}{quote}"
         out.append((f"{before} {text} {after}", path, 0))
     return out
 
 
 def train(findings: list[tuple[str, str, int]] | None = None) -> Forest | None:
     """A forest from labelled findings (text around a finding, path, 1 for a secret)."""
+    words = dictionary(dictionary_path())
     x, y = [], []
     for text, path, label in labelled_findings() if findings is None else findings:
         for f in candidates(text):
-            x.append(features(f, path))
+            x.append(features(f, path, words))
             y.append(label)
     return Forest().fit(np.array(x), np.array(y)) if len(set(y)) == 2 else None
 
 
 def scan(texts: list[str | None], paths: list[str | None], forest: Forest | None) -> list[list[tuple[Finding, float]]]:
     """For each text its candidates with their scores."""
+    words = dictionary(dictionary_path())
     found = [candidates(t) if t else [] for t in texts]
-    rows = [features(f, p) for fs, p in zip(found, paths, strict=True) for f in fs]
+    rows = [features(f, p, words) for fs, p in zip(found, paths, strict=True) for f in fs]
     scores = iter((forest.score(np.array(rows)) if forest else np.ones(len(rows))) if rows else [])
     return [[(f, float(next(scores))) for f in fs] for fs in found]
 
@@ -247,7 +297,8 @@ OUT = "doc_id long, start long, length long, rule string, score double, is_secre
 
 
 def find_secrets(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    """A row for each candidate of each document (doc_id, text, source as the path): its place in code points and verdict."""
+    """A row for each candidate of each document (doc_id, text, and source as the path if there is one): its place in code
+    points and verdict."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # of a size set by trees and depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +308,8 @@ def find_secrets(docs: DataFrame, forest: Forest | None) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 3, pa.string(), pa.float64(), pa.bool_()), strict=True)], names=[c.split(" ")[0] for c in OUT.split(", ")])
 
-    return docs.select("doc_id", "text", "source").mapInArrow(tidy(run), OUT)
+    path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("source")).mapInArrow(tidy(run), OUT)
 
 
 def redact_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
@@ -268,13 +320,13 @@ def redact_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            paths = batch.column(names.index("source")).to_pylist() if "source" in names else [None] * len(texts)
+            paths = batch.column(names.index("source")).cast(pa.string()).to_pylist() if "source" in names else [None] * len(texts)
             new = [redact(t, fs) for t, fs in zip(texts, scan(texts, paths, shared.value), strict=True)]
             cols = list(batch.columns)
             cols[names.index("text")] = pa.array(new, batch.schema.field("text").type)
             if "n_chars" in names:
                 kept = cols[names.index("n_chars")].to_pylist()
-                cols[names.index("n_chars")] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, texts, new, strict=True)], pa.int64())
+                cols[names.index("n_chars")] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, texts, new, strict=True)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = StructType([*docs.schema.fields])
