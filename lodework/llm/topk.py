@@ -5,13 +5,16 @@ holds for each term its postings (the candidates with a weight other than 0). Fo
 in turn scatters its postings, weighted by the queries that hold the term, into a dense array of scores; a
 partition selection then keeps each query's k best of that block, and the partial lists are merged.
 
-Every query block meets every candidate block: that is the work asked for, done in blocks of bounded size. Only
-packed blocks move between machines, each candidate block once a query block.
+Every query block meets every candidate block: that is the work asked for, done on a grid. Query blocks are dealt to rows
+of its cells and candidate blocks to columns; a cell gets its row's queries and its column's candidates, holds the
+queries with their best so far, and lets the candidates pass by. So only packed blocks move between machines, each about
+as often as the square root of the number of cells, in one shuffle.
 
 Nulls and edge cases: a vector that is null, empty, or holds a null or non-finite component takes no part. Shorter
 vectors count as 0 where they end. Rows that share an id are each candidates; as queries they count once, as the
 smallest of their vectors; a query's own rows are those of its id. Weights beyond 2**52 or scores beyond it
-fall back to exact integer arithmetic; a score beyond a long is held at a long's end. An empty table gives no row.
+fall back to exact integer arithmetic; a score beyond a long is held at a long's end. Very long vectors are handled a
+term at a time. Columns other than the id and the vector are ignored, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, table, tidy
 
 _LIMIT = 1 << 63
+#: So many query blocks are held at once.
+CELL = 4
 
 
 def _array(rows: list[list[int]]) -> np.ndarray:
@@ -134,27 +139,54 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     rows = vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     scratch = Scratch(spark, "topk")
     asked = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    qs = scratch.write(blocks(asked, query_block, scale).withColumn("qb", F.monotonically_increasing_id()))
-    cs = scratch.write(blocks(rows.select("id", "v"), cand_block, scale).withColumn("cb", F.monotonically_increasing_id()))
-    numbers = sorted(r[0] for r in qs.select("qb").collect())  # a number for each query_block queries
-    # Each candidate block is sent once to each query block, beside which it is scored.
-    sent = cs.withColumn("qb", F.explode(F.array(*[F.lit(x) for x in numbers]) if numbers else F.array().cast("array<long>")))
-    q = qs.select("qb", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "wide", "data", "odd")])
-    pairs = sent.hint("shuffle_hash").join(q, "qb").repartition(max(1, 4 * spark.sparkContext.defaultParallelism), "qb", "cb")
+    qs = scratch.write(blocks(asked, query_block, scale).withColumn("number", F.monotonically_increasing_id()))
+    cs = scratch.write(blocks(rows.select("id", "v"), cand_block, scale).withColumn("number", F.monotonically_increasing_id()))
+    # a cell holds at most about CELL query blocks; columns are added until there is work for all cores
+    down = max(1, -(-qs.count() // CELL))
+    across = max(1, min(cs.count(), max(-(-4 * spark.sparkContext.defaultParallelism // down), int(down**0.5))))
+    # blocks are numbered by partition and place there; the sum of both goes round the rows or columns
+    turn = lambda many: F.pmod(F.shiftright("number", 33) + F.col("number").bitwiseAND((1 << 33) - 1), F.lit(many)).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    q = qs.withColumn("cell", F.explode(F.transform(to(across), lambda c: turn(down) * across + c)))
+    c = cs.withColumn("cell", F.explode(F.transform(to(down), lambda r: r * across + turn(across))))
+    kind = [x.split(" ")[0] for x in BLOCK.split(", ")]
+    dealt = q.select("cell", F.lit(0).alias("side"), *kind).unionAll(c.select("cell", F.lit(1).alias("side"), *kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, q_rows = _unpack(*(r[f"q_{c}"] for c in ("n", "ids", "wide", "data", "odd")))
-                c_ids, c_rows = _unpack(*(r[c] for c in ("n", "ids", "wide", "data", "odd")))
-                found = np.array(list(best(q_rows, q_ids, c_rows, c_ids, k)), np.int64).reshape(-1, 3)
+        cell, asked, tops = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for found in tops:
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    part = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["cell"] != cell:
+                    yield from out()
+                    cell, asked, tops = r["cell"], [], []
+                ids, vectors = _unpack(*(r[x] for x in kind))
+                if not r["side"]:
+                    asked.append((ids, vectors))
+                    tops.append(np.zeros((0, 3), np.int64))
+                    continue
+                for i, (q_ids, q_rows) in enumerate(asked):
+                    found = np.array(list(best(q_rows, q_ids, vectors, ids, k)), np.int64).reshape(-1, 3)
+                    tops[i] = _best_of(np.concatenate([tops[i], found]), k)
+        yield from out()
+
+    # a cell's number is its partition's: no two cells meet in one task
+    part = dealt.repartitionById(down * across, F.col("cell")).sortWithinPartitions("cell", "side").mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _best_of(rows: np.ndarray, k: int) -> np.ndarray:
+    """Of rows (query, vector, score) each query's k best."""
+    rows = rows[np.lexsort((rows[:, 1], ~rows[:, 2], rows[:, 0]))]
+    first = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[:1, 0] - 1)) if len(rows) else np.zeros(0, np.int64)
+    return rows[np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < k]
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows, F.col("vec_id") % 20 == 0)
