@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch's texts fall into segments that no piece crosses (a run of blanks and what follows up to the next blank).
-The distinct segments that aren't known yet are laid end to end and indexed by a suffix array. Every piece of the
+Segments met before are remembered with their ids, up to a bound in bytes, so most of a batch is looked up. The distinct
+segments that are new in it are laid end to end as one text and indexed by a suffix array. Every piece of the
 vocabulary is binary-searched in it, which gives the range of all its occurrences: the edges of a lattice. Sorted
 by position, the edges are relaxed from left to right, all segments side by side.
 
@@ -12,9 +13,13 @@ starts; whether two pieces stay two is found once and remembered.
 
 Characters outside the vocabulary become their UTF-8 bytes' pieces. Special pieces' names in a text are plain text.
 
+A model of another kind, or one whose normalisation changes more than blanks into blank signs with one in front, is
+refused.
+
 Nulls and edge cases: a null text is empty and has no ids. A blank sign of the vocabulary (U+2581) in a text reads
-back as a blank, as the format has no other writing for it. Very long texts and segments go through whole. Repeated
-rows are encoded one by one. An empty table gives no row.
+back as a blank, as the format has no other writing for it. Very long texts and segments go through whole. Where two
+paths seem to tie, the merges decide. Repeated rows are encoded one by one. Columns named like the result's are replaced,
+others are carried along. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +47,59 @@ def _coded(piece: str) -> bytes:
     return piece.replace(" ", BLANK).encode("utf-8", "replace").replace(b"\xe2\x96\x81", b"\xff")
 
 
+def _fields(raw: bytes) -> dict[int, object]:
+    """The last value of each field of a message in the wire format of protocol buffers."""
+    out, i = {}, 0
+
+    def number() -> int:
+        nonlocal i
+        value = shift = 0
+        while True:
+            b = raw[i]
+            i += 1
+            value |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                return value
+
+    while i < len(raw):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            out[key >> 3] = raw[i : i + size]
+            i += size
+    return out
+
+
+def check_model(path: str) -> None:
+    """Refuses a model that is not of the BPE kind, or that normalises texts in ways not followed here."""
+    model = _fields(Path(path).read_bytes())
+    # The numbers of the fields and of the BPE kind, and the defaults of what is left out.
+    kind = _fields(model.get(2, b"")).get(3, 1)
+    rules = _fields(model.get(3, b""))
+    if kind != 2:
+        raise ValueError(f"{path}: a model of kind {kind}; only BPE (2) is encoded here")
+    wanted = {"precompiled map": (rules.get(2, b""), b""), "dummy prefix": (rules.get(3, 1), 1), "blanks removed": (rules.get(4, 1), 0), "blanks escaped": (rules.get(5, 1), 1)}
+    if odd := [name for name, (have, want) in wanted.items() if have != want]:
+        raise ValueError(f"{path}: normalisation that isn't followed here: {', '.join(odd)}")
+
+
+#: What remembered segments and pairs may take, in bytes.
+CACHE = 48 << 20
+
+
 class Pieces:
     """A BPE vocabulary and what is known of segments and of neighbouring pieces."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = CACHE):
         import sentencepiece
 
+        check_model(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.most, self.known = most, {}
+        self.most, self.known, self.held = most, {}, 0
         self.bytes = {}
         self.text: list[bytes] = [b""] * n
         ids, codes = [], []
@@ -99,7 +149,7 @@ class Pieces:
         if new.any():
             fresh = np.unique(keys[new])
             got = [self.merged(a + b) == [a, b] for a, b in ((self.text[k >> 32], self.text[k & 0xFFFFFFFF]) for k in fresh.tolist())]
-            if len(self.pairs) > 3_000_000:
+            if 9 * len(self.pairs) > self.most // 2:
                 self.pairs, self.stay = np.zeros(1, np.int64), np.zeros(1, bool)
                 return self._stays(keys)
             both, flags = np.concatenate([self.pairs, fresh]), np.concatenate([self.stay, np.array(got)])
@@ -155,6 +205,7 @@ class Pieces:
         out: list[list[int]] = [[] for _ in segments]
         alive, here = np.arange(len(segments)), ends.copy()
         alive, here = alive[sizes > 0], here[sizes > 0]
+        lost = set()
         while len(alive):
             for i, t, p, n in zip(alive.tolist(), last[here].tolist(), here.tolist(), length[here].tolist(), strict=True):
                 if t >= 0:
@@ -162,10 +213,12 @@ class Pieces:
                 elif n:
                     out[i] += [self.bytes.get(x, self.unknown) for x in text[p - n : p][::-1].tolist()]
                 else:
-                    raise AssertionError(f"no path to {segments[i]!r}")
+                    lost.add(i)
+            go = (here - length[here] > starts[alive]) & (length[here] > 0)
             here = here - length[here]
-            go = here > starts[alive]
             alive, here = alive[go], here[go]
+        for i in lost:  # no path by neighbours alone
+            out[i] = [x for part in self.merged(segments[i]) for x in ([self.id[part]] if part in self.id else [self.bytes.get(b, self.unknown) for b in part])][::-1]
         return {s: np.array(ids[::-1], "<u4").tobytes() for s, ids in zip(segments, out, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -173,15 +226,17 @@ class Pieces:
         split = [_SEGMENT.findall(_coded(" " + t)) if t else [] for t in texts]
         new = {s for words in split for s in words if s not in self.known}
         if new:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
+            if self.held > self.most // 2:
+                self.forget()
                 new = {s for words in split for s in words}
-            self.known.update(self.learn(sorted(new)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(self.known) > self.most:
-            self.known.clear()
-        return out
+            found = self.learn(sorted(new))
+            self.known.update(found)
+            self.held += sum(len(s) + len(ids) + 200 for s, ids in found.items())
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def decode(self, ids: bytes) -> str:
         """The text of ids (little-endian 32-bit): blanks for the blank sign, but the first; bytes joined to characters."""
@@ -198,6 +253,12 @@ def model(path: str) -> Pieces:
     return _models[path]
 
 
+def forget() -> None:
+    """Empties what is remembered of segments; the vocabularies stay."""
+    for m in _models.values():
+        m.forget()
+
+
 def _texts(column: pa.Array, most: int = 2 << 20) -> Iterator[list[str | None]]:
     part, size = [], 0
     for t in column:
@@ -238,7 +299,7 @@ def encode_column(docs: DataFrame, path: str, text: str = "text", digest: bool =
                 yield pa.RecordBatch.from_arrays([*batch.slice(row, len(part)).columns, *made], names=[*batch.schema.names, *names])
                 row += len(part)
 
-    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL(OUT if digest else "ids array<int>").fields]))
+    return carried.mapInArrow(tidy(run, forget), StructType([*carried.schema.fields, *StructType.fromDDL(OUT if digest else "ids array<int>").fields]))
 
 
 def decode_column(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -251,7 +312,7 @@ def decode_column(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             got = [None if x is None else pieces.decode(np.array(x, "<u4").tobytes()) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, "text"])
 
-    return carried.mapInArrow(tidy(run), StructType([*carried.schema.fields, *StructType.fromDDL("text string").fields]))
+    return carried.mapInArrow(tidy(run, forget), StructType([*carried.schema.fields, *StructType.fromDDL("text string").fields]))
 
 
 def model_path() -> str:

@@ -355,3 +355,27 @@ def test_secrets_on_findings_of_another_source():
         found = secrets.scan([text], [path], forest)[0]
         right += label == any(s >= secrets.THRESHOLD for _, s in found)
     assert right >= 0.85 * len(BY_HAND), right
+
+
+def test_pieces_refuse_other_models(tmp_path):
+    raw = open(pieces.model_path(), "rb").read()
+    pieces.check_model(pieces.model_path())
+    # another kind and a normaliser that removes blanks, appended as further trainer and normaliser fields
+    for extra in (b"\x12\x02\x18\x01", b"\x1a\x02\x20\x01"):
+        (tmp_path / "m.model").write_bytes(raw + extra)
+        with pytest.raises(ValueError):
+            pieces.check_model(str(tmp_path / "m.model"))
+
+
+def test_pieces_of_long_segments_and_small_caches():
+    sp = pytest.importorskip("sentencepiece")
+    lib = sp.SentencePieceProcessor(model_file=pieces.model_path())
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdetinosrh.,THE"), 30_000)), *("".join(rng.choice(list("abcde tinosr h"), 80)) for _ in range(200))]
+    own = pieces.Pieces(pieces.model_path(), most=20_000)
+    for part in (texts, texts[50:], texts[::-1]):
+        for t, got in zip(part, own.encode(part), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == lib.encode(t)
+    path = own.merged
+    code = pieces._coded(" hello")
+    assert [own.id[p] for p in path(code)] == lib.encode("hello")
