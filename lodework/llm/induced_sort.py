@@ -263,28 +263,47 @@ def order(text: np.ndarray, store: Store) -> np.ndarray:
     def scan(first: np.ndarray, second: np.ndarray, lo: int, hi: int, up: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Suffixes of one range in scan order, whether each is of the kind induced, and predecessors of other ranges.
         first: those pushed before, in order; second: those of the other kind, in order. What they induce in the
-        range itself is found in waves, each of which sorts by symbol and the order of the one before."""
-        induced = np.zeros(0, np.int64)
-        source = np.zeros(0, np.int64)
-        sign = 1 if up else -1
-        while True:
-            pos = np.concatenate([first, induced, second])
-            kind = np.repeat([0, 1], [len(first) + len(induced), len(second)])
-            rank = np.concatenate([np.arange(-len(first), 0), source, np.arange(len(second))])
-            sym = text[pos]
-            if 0 < hi - lo < 1 << 22 and n < 1 << 39:  # one key for all three, whose ranks differ by kind and symbol
-                o = np.argsort((sym - lo if up else hi - sym) << 41 | kind << 40 | rank + n)
-            else:
-                o = np.lexsort((rank, kind, sign * sym))
-            pos, sym, kind = pos[o], sym[o], kind[o]
+        range itself stands between the two, symbol by symbol, in the order of what it was induced from: that is found
+        by sorting it again until nothing changes."""
+
+        def looked_at(pos: np.ndarray, sym: np.ndarray, equal: np.ndarray | bool) -> tuple[np.ndarray, ...]:
             before = np.maximum(pos - 1, 0)
             prev = text[before]
-            wanted = (pos > 0) & ((prev > sym if up else prev < sym) | (prev == sym) & (kind == 0))
-            here = wanted & (prev < hi) & (prev >= lo)
-            children = before[here]
-            if len(children) == len(induced):
-                return pos, kind == 0, before[wanted & ~here]
-            induced, source = children, np.flatnonzero(here)
+            wanted = (pos > 0) & ((prev > sym if up else prev < sym) | ((prev == sym) & equal))
+            here = wanted & ((prev < hi) if up else (prev >= lo))
+            return pos, sym, before, prev, wanted & ~here, here
+
+        pos = np.concatenate([first, second])
+        group = np.repeat(np.array([0, 2]), [len(first), len(second)])
+        place = np.concatenate([np.arange(len(first)), np.arange(len(second))])
+        waves, parents, known = [looked_at(pos, text[pos], group == 0)], [], 0
+        while len(at := np.flatnonzero(waves[-1][5])):
+            parents.append(known + at)
+            known += len(waves[-1][0])
+            waves.append(looked_at(waves[-1][2][at], waves[-1][3][at], True))
+        pos, sym, before, _, out, _ = (np.concatenate([w[k] for w in waves]) for k in range(6))
+        level = sym - lo if up else hi - sym
+        if hi - lo >= 1 << 21:
+            level = np.unique(level, return_inverse=True)[1]
+        key = level << 42
+        own = len(group)
+        key[:own] |= group << 40 | place
+        if parents:
+            parent, least = np.concatenate(parents), key[own:] | 1 << 40
+            rank = np.arange(len(parent))
+            while True:
+                key[own:] = least | rank
+                o = np.lexsort((key[parent], least))
+                new = np.empty_like(rank)
+                new[o] = np.arange(len(o))
+                if np.array_equal(new, rank):
+                    break
+                rank = new
+        o = np.argsort(key)
+        kind = np.ones(len(pos), bool)
+        kind[:own] = group == 0
+        out = out[o]
+        return pos[o], kind[o], before[o][out]
 
     def stream(pos: np.ndarray, sym: int, queues: Queues, up: bool, equal: bool) -> None:
         """The predecessors of suffixes that begin with one symbol."""
@@ -355,7 +374,7 @@ class RangeMin:
         """Minima over [lo, hi], both inside and lo <= hi."""
         k = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
         out = np.empty(len(lo), self.levels[0].dtype)
-        for level in np.unique(k):
+        for level in np.flatnonzero(np.bincount(k)):
             at = k == level
             t = self.levels[level]
             out[at] = np.minimum(t[lo[at]], t[hi[at] + 1 - (1 << int(level))])
