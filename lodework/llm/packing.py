@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -68,7 +69,8 @@ _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:
 
 
 #: What the words in a cache and their ids may take together, in bytes.
-CACHE = 32 << 20
+CACHE = 96 << 20
+_ASCII_WORD = re.compile(rb"([A-Za-z]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordCache(dict):
@@ -83,43 +85,51 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer, self.most, self.merge = Tokenizer.from_file(path), most, _word_merger(path)
-        self.runs: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}  # runs of punctuation, a bounded number of them
         self.held = 0
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self._ids(word)
+        ids = self._plain(word) if self.merge else None
+        if ids is None:
+            ids = self._ids(word)
         if len(word) < 64:
-            self._count(len(word) + len(ids))
+            # besides their bytes an entry's two objects and its place in the table take about 200
+            self.held += len(word) + len(ids) + 200
+            if self.held > self.most:
+                self.forget()
             self[word] = ids
         return ids
 
-    def _count(self, size: int) -> None:
-        """An entry costs about 200 bytes besides its own: two objects and its place in the table."""
-        self.held += size + 200
-        if self.held > self.most:
-            self.forget()
-            self.held = size + 200
-
-    def forget(self) -> None:
-        self.clear()
-        self.runs.clear()
-        self.held = 0
+    def _plain(self, word: bytes) -> bytes | None:
+        """The ids of ASCII letters and punctuation after them; the letters may be known as a word of their own."""
+        m = _ASCII_WORD.fullmatch(word)
+        if not m:
+            return None
+        core, mark = m.groups()
+        if mark and any(map(word.__contains__, self.special)):
+            return None
+        low = core.lower()
+        ids = self.get(low) if low is not word else None
+        if ids is None:
+            ids = _packed(self.merge(low)) if low else b""
+        if mark:
+            if (tail := self.marks.get(mark)) is None:
+                tail = _packed(self.merge(mark))
+                if len(self.marks) < 10_000:
+                    self.marks[mark] = tail
+            ids += tail
+        return ids
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if self.merge and (m := _WORD.fullmatch(text)) and not any(map(word.__contains__, self.special)):
-            core, mark = m.groups()
-            return self._run(core.lower()) + self._run(mark)
+            return b"".join(_packed(self.merge(run.encode())) for run in (m[1].lower(), m[2]) if run)
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _run(self, run: str) -> bytes:
-        if (ids := self.runs.get(run)) is None:
-            ids = _packed(self.merge(run.encode())) if run else b""
-            if len(run) < 64:
-                self._count(4 * len(run) + len(ids))
-                self.runs[run] = ids
-        return ids
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
 
 
 _caches: dict[str, WordCache] = {}
@@ -133,13 +143,10 @@ def encode(texts: list[str | None], path: str, end: int | None = END_ID) -> list
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def forget() -> None:
-    """Empties the word caches; the tokenizers stay."""
-    for cache in _caches.values():
-        cache.forget()
+    made = array("I", ids)
+    if sys.byteorder != "little":
+        made.byteswap()
+    return made.tobytes()
 
 
 class Packer:
@@ -251,7 +258,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", to
         packer.finish()
         yield out()
 
-    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(tidy(run, forget), schema)
+    return docs.select(key, text, *([loss] if loss else [])).mapInArrow(tidy(run), schema)
 
 
 def tokenizer_path() -> str:
