@@ -86,8 +86,10 @@ def check_model(path: str) -> None:
         raise ValueError(f"{path}: normalisation that isn't followed here: {', '.join(odd)}")
 
 
-#: What remembered segments and pairs may take, in bytes.
-CACHE = 48 << 20
+#: What remembered segments may take, in bytes; remembered pairs may take a third of that.
+CACHE = 96 << 20
+#: So many suffixes are searched at once.
+PART = 1 << 19
 
 
 class Pieces:
@@ -149,7 +151,7 @@ class Pieces:
         if new.any():
             fresh = np.unique(keys[new])
             got = [self.merged(a + b) == [a, b] for a, b in ((self.text[k >> 32], self.text[k & 0xFFFFFFFF]) for k in fresh.tolist())]
-            if 9 * len(self.pairs) > self.most // 2:
+            if 9 * len(self.pairs) > self.most // 3:
                 self.pairs, self.stay = np.zeros(1, np.int64), np.zeros(1, bool)
                 return self._stays(keys)
             both, flags = np.concatenate([self.pairs, fresh]), np.concatenate([self.stay, np.array(got)])
@@ -171,8 +173,8 @@ class Pieces:
         padded = np.concatenate([text, np.zeros(self.width, np.uint8)])
         least, most = (np.array(x, f"S{self.width}") for x in (self.codes, [c + b"\xff" * (self.width - len(c)) for c in self.codes]))
         lo, hi = np.zeros(len(least), np.int64), np.zeros(len(least), np.int64)
-        for a in range(0, len(order), 1 << 16):  # places in a part of the array add up to those in the whole
-            rows = padded[order[a : a + (1 << 16), None] + np.arange(self.width)].view(f"S{self.width}").ravel()
+        for a in range(0, len(order), PART):  # places in a part of the array add up to those in the whole
+            rows = padded[order[a : a + PART, None] + np.arange(self.width)].view(f"S{self.width}").ravel()
             lo += np.searchsorted(rows, least)
             hi += np.searchsorted(rows, most, "right")
         count = hi - lo
@@ -226,7 +228,7 @@ class Pieces:
         split = [_SEGMENT.findall(_coded(" " + t)) if t else [] for t in texts]
         new = {s for words in split for s in words if s not in self.known}
         if new:
-            if self.held > self.most // 2:
+            if self.held > self.most:
                 self.forget()
                 new = {s for words in split for s in words}
             found = self.learn(sorted(new))
