@@ -51,21 +51,23 @@ def sniff(data: bytes) -> dict[str, str]:
     return {"type": "binary"}
 
 
+#: What another entry's container says it is.
+REFERENCE_CONTAINERS = {"ASND": "audio", "ABNK": "audio", "AMSP": "audio", "PIMG": "image atlas"}
+#: What its first bytes say, if it is no packfile.
+REFERENCE_MAGICS = (*((m.encode(), "texture") for m in INDEX_TEXTURES), (b"DDS", "texture"), (b"strs", "strings"))
+
+
 def reference_kind(data: bytes) -> str:
-    """What another entry refers to: model, audio, image atlas, packfile X, texture, strings, other, or nothing."""
-    if not data:
+    """What another entry refers to: model (by its chunk), audio, image atlas, packfile X, texture, strings or other; nothing
+    for what is too short for a header."""
+    if len(data) < 12:
         return ""
-    if data[:2] == b"PF" and len(data) >= 12:
-        names = {c[1] for c in chunks(data, "extract")}
-        container = printable(data[8:12])
-        if container == "MODL" or "GEOM" in names:
+    if data.startswith(b"PF"):
+        if any(c[1] == "GEOM" for c in chunks(data, "extract")):
             return "model"
-        if container in ("ASND", "ABNK"):
-            return "audio"
-        return "image atlas" if container == "PIMG" else f"packfile {container}"
-    if printable(data[:4]) in SNIFF_TEXTURES or data[:4] == b"DDS ":
-        return "texture"
-    return "strings" if data[:4] == b"strs" else "audio" if data[:4] in (b"asnd", b"OggS") else "other"
+        name = data[8:12].split(b"\0")[0].decode("latin-1")
+        return REFERENCE_CONTAINERS.get(name, f"packfile {name}")
+    return next((kind for magic, kind in REFERENCE_MAGICS if data.startswith(magic)), "other")
 
 
 def looks_like_text(data: bytes, most: int = 4096) -> bool:
@@ -78,3 +80,12 @@ def looks_like_text(data: bytes, most: int = 4096) -> bool:
 def texture_alias(magic: str) -> str:
     """The A form of a texture magic that is written with a C."""
     return "A" + magic[1:] if magic[:1] == "C" and "A" + magic[1:] in INDEX_TEXTURES else magic
+
+
+def decode_text(data: bytes, most: int = 1 << 22) -> str:
+    """Text of the first bytes: UTF-8, or Windows' western code page where it isn't that."""
+    head = data[:most]
+    try:
+        return head.decode("utf-8")
+    except UnicodeDecodeError:
+        return head.decode("cp1252", "replace")

@@ -14,7 +14,7 @@ from ..functions.classify import sniff
 from ..functions.packfile import NODE, parse_packfile
 from ..sources.archive import Slices, read_archive
 from . import relational as R
-from .index import current, plain
+from .index import current, deal_by_bytes, plain
 
 
 class Index:
@@ -159,7 +159,7 @@ class Archive:
                     yield pa.RecordBatch.from_arrays([pa.array([base_id]), pa.array([data], pa.binary()), pa.array([really], pa.int32()), pa.array([error])], names=["base_id", "data", "actually_compressed", "error"])
             slices.close()
 
-        return rows.repartitionByRange(F.col("offset")).sortWithinPartitions("offset").mapInArrow(run, "base_id long, data binary, actually_compressed int, error string")
+        return deal_by_bytes(rows, os.path.getsize(path)).mapInArrow(run, "base_id long, data binary, actually_compressed int, error string")
 
     def sniff(self, base_id: int) -> dict:
         """What an entry is, as a dict."""

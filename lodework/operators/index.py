@@ -10,8 +10,11 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +81,10 @@ def decode_entries(mft: DataFrame, path: str, registry: dict) -> DataFrame:
 
 
 def deal_by_bytes(mft: DataFrame, total: int, target: int = 128 << 20) -> DataFrame:
-    """mft in partitions of about `target` bytes, by place in the archive. total: an upper bound of its bytes, which the
-    file's size gives without a pass."""
+    """mft in partitions by place in the archive, each of the entries that begin in one stretch of `target` bytes. total: an upper
+    bound of the places, which the file's size gives without a pass."""
     parts = -(-total // target)
-    dealt = mft.repartitionByRange(parts, "offset") if parts > 1 else mft.coalesce(1)
+    dealt = mft.repartitionById(parts, F.least(F.floor(F.col("offset") / target), F.lit(parts - 1)).cast("int")) if parts > 1 else mft.coalesce(1)
     return dealt.sortWithinPartitions("offset")
 
 
@@ -101,6 +104,11 @@ def current(index: str) -> str | None:
         return None
 
 
+def _rows_in(folder: str) -> int:
+    """The rows of a written table, from its files' footers."""
+    return sum(pq.read_metadata(f).num_rows for f in Path(folder).glob("*.parquet"))
+
+
 def build_index(spark: SparkSession, archive: str, index: str, registry: dict | None = None, full: bool = False, reconcile: bool = False) -> dict[str, int]:
     """Makes or updates the index. Entries whose fingerprint is unchanged keep their rows. `full` decodes all again;
     `reconcile` also drops vanished entries, retries failed reads and takes new file ids for unchanged entries."""
@@ -117,7 +125,7 @@ def build_index(spark: SparkSession, archive: str, index: str, registry: dict |
     if old:
         kept = spark.read.parquet(f"{old}/entries")
     if old and not full and not reconcile and todo.isEmpty():
-        return {"processed": 0, "entries": (n := kept.count()), "skipped": n}
+        return {"processed": 0, "entries": (n := _rows_in(f"{old}/entries")), "skipped": n}
     per_entry = ids.groupBy("base_id").agg(F.array_sort(F.collect_list("file_id")).alias("file_ids"))
     os.makedirs(index, exist_ok=True)
     snapshot = f"snapshot={uuid.uuid4().hex[:12]}"
@@ -137,12 +145,17 @@ def build_index(spark: SparkSession, archive: str, index: str, registry: dict |
         if reconcile:
             id_rows = ids.join(entries.select("base_id"), "base_id", "left_semi").select("file_id", "base_id")
     rows = open_catalog(archive)[2]
-    clustered(entries, rows, ["type", "container", "base_id"]).write.parquet(f"{where}/entries")
-    clustered(chunk_rows, 4 * rows, ["fourcc", "base_id", "seq"]).write.parquet(f"{where}/chunks")
-    id_rows.groupBy("file_id").agg(F.min("base_id").alias("base_id")).write.parquet(f"{where}/file_ids")
-    meta = [("dat_path", archive), ("dat_size", str(os.path.getsize(archive))), ("mft_entries", str(rows))]
-    spark.createDataFrame(meta, "key string, value string").coalesce(1).write.parquet(f"{where}/meta")
-    counts = {"processed": done.count(), "entries": spark.read.parquet(f"{where}/entries").count()}
+    tables = {
+        "entries": clustered(entries, rows, ["type", "container", "base_id"]),
+        "chunks": clustered(chunk_rows, 4 * rows, ["fourcc", "base_id", "seq"]),
+        "file_ids": id_rows.groupBy("file_id").agg(F.min("base_id").alias("base_id")),
+    }
+    with ThreadPoolExecutor(len(tables)) as pool:  # the cuts don't wait for each other
+        list(pool.map(lambda kv: kv[1].write.parquet(f"{where}/{kv[0]}"), tables.items()))
+    meta = {"key": ["dat_path", "dat_size", "mft_entries"], "value": [archive, str(os.path.getsize(archive)), str(rows)]}
+    os.makedirs(f"{where}/meta")
+    pq.write_table(pa.table(meta), f"{where}/meta/part-0.parquet")
+    counts = {"processed": _rows_in(f"{where}/decoded"), "entries": _rows_in(f"{where}/entries")}
     counts["skipped"] = counts["entries"] - counts["processed"]
     temp = os.path.join(index, f".{snapshot}")
     with open(temp, "w") as f:

@@ -84,10 +84,15 @@ def last_wins(df: DataFrame, key: str, value: str, order: str, alias: str) -> Da
     return df.groupBy(key).agg(F.max_by(value, order).alias(alias))
 
 
-def upper_median(column: str) -> Column:
-    """The element at n div 2 of the sorted values: of an even number, the upper of the middle two."""
-    v = F.array_sort(F.collect_list(column))
-    return F.get(v, F.floor(F.size(v) / 2).cast("int"))
+def upper_median(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
+    """(key, value, k, alias): each distinct value of a key with its count and the key's upper median, the element at n div 2
+    of its sorted values. Counts are combined before the shuffle, so a group's rows never meet in one list: the median
+    is where the running count passes half."""
+    by = df.groupBy(key, value).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(key)
+    ranked = by.withColumn("_upto", F.sum("k").over(w.orderBy(value))).withColumn("_n", F.sum("k").over(w))
+    held = F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col(value))
+    return ranked.withColumn(alias, F.min(held).over(w)).drop("_upto", "_n")
 
 
 def two_level(specific: Column, general: Column, known: Column, version: Column) -> Column:

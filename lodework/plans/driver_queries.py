@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import classify
 from ..functions import columns as C
 from ..operators import relational as R
 
@@ -174,13 +175,7 @@ def argmax_first(spark, sf):
 SELECT l.l_suppkey, med, sum(CASE WHEN l_quantity > 1.8 * med THEN med ELSE l_quantity END) AS clamped FROM lineitem l JOIN m USING (l_suppkey) GROUP BY 1, 2"""
 )
 def upper_median_clamp(spark, sf):
-    # Counts by value are combined before the shuffle, so a group's rows never meet in one list: the median is where the
-    # running count passes half, over the distinct values.
-    by = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("l_suppkey")
-    ranked = by.withColumn("upto", F.sum("k").over(w.orderBy("l_quantity"))).withColumn("n", F.sum("k").over(w))
-    held = F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("l_quantity"))
-    med = ranked.withColumn("med", F.min(held).over(w))
+    med = R.upper_median(t(spark, sf, "lineitem"), "l_suppkey", "l_quantity", "med")
     clamped = F.when(F.col("l_quantity") > 1.8 * F.col("med"), F.col("med")).otherwise(F.col("l_quantity")) * F.col("k")
     return med.groupBy("l_suppkey", "med").agg(F.sum(clamped).alias("clamped"))
 
@@ -235,17 +230,19 @@ def divmod_join(spark, sf):
     return e.join(t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "lang"), "file")
 
 
+#: First bytes, and what the index calls a blob that begins with them.
+MAGICS = (("5046", "packfile"), ("41544558", "texture"), ("43544558", "texture"), ("43545458", "binary"), ("44445320", "dds"), ("73747273", "strs"), ("52494646", "riff"), ("89504E47", "png"), ("FFD8", "jpeg"), ("4D5A", "exe"), ("61736E64", "asnd"), ("00", "binary"), ("4D", "binary"))
+
+
 @query(
-    """WITH b AS (SELECT 'page' AS kind, page_id AS id, encode(html) AS b FROM pages UNION ALL SELECT 'doc', doc_id, encode(text) FROM documents),
-h AS (SELECT kind, id, hex(b[1:4]) AS h FROM b)
-SELECT kind, id, CASE WHEN h = '' THEN 'empty' WHEN h LIKE '3C21%' THEN 'html' WHEN h LIKE '5468%' THEN 'Th' WHEN h LIKE 'C3%' THEN 'accent' ELSE 'other' END AS type FROM h"""
+    f"""WITH m(k, type) AS (VALUES {", ".join(f"({k}, '{kind}')" for k, (_, kind) in enumerate(MAGICS))})
+SELECT p_partkey, CASE WHEN p_size = 50 THEN 'empty' ELSE type END AS type FROM part JOIN m ON k = p_partkey % {len(MAGICS)}"""
 )
 def magic_sniff(spark, sf):
-    rows = t(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").cast("binary").alias("b"))
-    rows = rows.unionAll(t(spark, sf, "documents").select(F.lit("doc"), "doc_id", F.col("text").cast("binary")))
-    two, one = F.substring("b", 1, 2), F.substring("b", 1, 1)
-    kind = F.when(F.octet_length("b") == 0, "empty").when(two == F.unhex(F.lit("3C21")), "html").when(two == F.unhex(F.lit("5468")), "Th").when(one == F.unhex(F.lit("C3")), "accent").otherwise("other")
-    return rows.select("kind", "id", kind.alias("type"))
+    """The index's classifier on blobs that begin with each magic; where p_size is 50, on blobs too short for one."""
+    first = F.element_at(F.array(*[F.unhex(F.lit(m)) for m, _ in MAGICS]), (F.col("p_partkey") % len(MAGICS) + 1).cast("int"))
+    blob = F.when(F.col("p_size") == 50, F.unhex(F.lit("504600"))).otherwise(F.concat(first, F.col("p_name").cast("binary"), F.col("p_type").cast("binary")))
+    return t(spark, sf, "part").select("p_partkey", classify.index_type(blob).alias("type"))
 
 
 @query(
@@ -266,10 +263,19 @@ def fvf_labels(spark, sf):
     return t(spark, sf, "part").select("p_partkey", C.vertex_labels(m).alias("labels"), C.vertex_stride(m).alias("stride"))
 
 
-@query("SELECT doc_id, hex(encode(text)[1:16]) AS hex, regexp_replace(substr(text, 1, 16), '[^ -~]', '.', 'g') AS ascii, printf('0x%08X', doc_id) AS offset_hex FROM documents")
+@query(
+    r"""WITH b AS (SELECT doc_id, encode(text) AS b FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, o, b[o + 1:o + 16] AS b FROM (SELECT doc_id, b, unnest(range(0, octet_length(b), 16)) AS o FROM b))
+SELECT doc_id, o::BIGINT AS at, printf('0x%08X', o) AS offset_hex, hex(b) AS hex,
+replace(replace(replace(regexp_replace(b::VARCHAR, '\\x([0189A-F][0-9A-F]|7F)', '.', 'g'), '\x22', '"'), '\x27', ''''), '\x5C', '\') AS ascii FROM r"""
+)
 def hex_rows(spark, sf):
-    d = t(spark, sf, "documents")
-    return d.select("doc_id", F.hex(F.substring(F.col("text").cast("binary"), 1, 16)).alias("hex"), F.regexp_replace(F.substring("text", 1, 16), "[^ -~]", ".").alias("ascii"), C.hex32(F.col("doc_id")).alias("offset_hex"))
+    """Whole texts in rows of 16 bytes."""
+    d = t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("b"))
+    at = F.sequence(F.lit(0), F.octet_length("b") - 1, F.lit(16))
+    rows = d.where(F.octet_length("b") > 0).select("doc_id", "b", F.explode(at).alias("o")).select("doc_id", "o", F.substring(F.col("b"), F.col("o") + 1, F.lit(16)).alias("b"))
+    shown = F.regexp_replace(F.decode("b", "ISO-8859-1"), r"[^\x20-\x7E]", ".")
+    return rows.select("doc_id", F.col("o").cast("long").alias("at"), C.hex32(F.col("o")).alias("offset_hex"), F.hex("b").alias("hex"), shown.alias("ascii"))
 
 
 @query("SELECT event_type, count(*) AS total, array_to_string(list_sort(list(event_id))[1:3], ',') AS examples FROM events GROUP BY 1")
@@ -306,10 +312,10 @@ def chunk_labels(spark, sf):
     return line.select("l_orderkey", "l_linenumber", "l_partkey", C.chunk_label(F.col("l_returnflag"), F.col("l_linenumber"), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus"))).alias("label"))
 
 
-@query("SELECT doc_id, round(length(regexp_replace(substr(text, 1, 4096), '[^ -~]', '', 'g')) / length(substr(text, 1, 4096))::DOUBLE, 6) AS share FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, round(length(regexp_replace(text, '[^ -~]', '', 'g')) / length(text)::DOUBLE, 6) AS share FROM documents WHERE length(text) > 0")
 def printable_score(spark, sf):
     d = t(spark, sf, "documents").where(F.length("text") > 0)
-    return d.select("doc_id", F.round(C.printable_share(F.substring("text", 1, 4096)), 6).alias("share"))
+    return d.select("doc_id", F.round(C.printable_share(F.col("text")), 6).alias("share"))
 
 
 @query(
