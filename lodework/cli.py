@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import media
+from .functions import media, strtable
+from .functions.classify import decode_text, looks_like_text
 from .functions.packfile import parse_packfile
+from .functions.preview import preview_kind
 from .operators.api import Archive, Index
 from .operators.index import build_index, dump_json
 from .sources.sinks import images, write_files
@@ -23,7 +25,10 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 def _one(a: Archive, ns: argparse.Namespace) -> bytes:
-    """The decoded bytes of the one entry that is named, by base id or by file id."""
+    """The decoded bytes of the one entry that is named, by base id or by file id, or a file's own in place of an entry's."""
+    if ns.data:
+        with open(ns.data, "rb") as f:
+            return f.read()
     if (ns.base_id is None) == (ns.file_id is None):
         raise ValueError("give --base-id or --file-id")
     base = ns.base_id
@@ -81,7 +86,8 @@ ON_ARCHIVE: dict[str, Callable[[Archive, argparse.Namespace], dict]] = {
     "export": _export,
     "texture": _texture,
     "parse": lambda a, n: {"tree": json.loads(dump_json(parse_packfile(_one(a, n), load_registry(n.registry)), n.depth))},
-    "strings": lambda a, n: {"records": rows(a.string_page(n.base_id, n.contains, n.only_confirmed, n.limit, n.offset))},
+    "preview": lambda a, n: {"kind": preview_kind(data := _one(a, n)), "text": decode_text(data) if looks_like_text(data) else ""},
+    "strings": lambda a, n: {"records": [dict(zip((c.split(" ")[0] for c in strtable.RECORD.split(", ")), r, strict=True)) for r in strtable.records(_one(a, n))]} if n.data else {"records": rows(a.string_page(n.base_id, n.contains, n.only_confirmed, n.limit, n.offset))},
     "scan": lambda a, n: {"hits": rows(a.scan(n.contains.encode(), n.min_size, n.offset, None, n.step, n.limit))},
     "audio": _audio,
     "shaders": lambda a, n: {"shaders": [dict(zip((c.split(" ")[0] for c in media.SHADER.split(", ")), r, strict=True)) for r in media.shader_rows(_one(a, n))]},
@@ -105,12 +111,12 @@ ON_INDEX: dict[str, Callable[[Index, argparse.Namespace], dict]] = {
 def run(spark: SparkSession, args: list[str]) -> dict:
     p = argparse.ArgumentParser(prog="lodework", exit_on_error=False)
     p.add_argument("command", choices=["index", *ON_ARCHIVE, *ON_INDEX])
-    p.add_argument("path", help="the archive, or the index for commands on it")
+    p.add_argument("path", nargs="?", default="", help="the archive, or the index for commands on it; none is needed with --data")
     for name in ("--base-id", "--file-id", "--id", "--version", "--depth"):
         p.add_argument(name, type=int)
     for name, value in (("--limit", 50), ("--offset", 0), ("--min-size", 0), ("--step", 1), ("--level", 0)):
         p.add_argument(name, type=int, default=value)
-    for name in ("--out", "--registry", "--type", "--container", "--fourcc", "--contains"):
+    for name in ("--out", "--registry", "--type", "--container", "--fourcc", "--contains", "--data"):
         p.add_argument(name)
     for name in ("--only-confirmed", "--full", "--reconcile"):
         p.add_argument(name, action="store_true")

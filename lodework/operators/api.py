@@ -189,6 +189,11 @@ class Archive:
 
         return (self.blobs() if blobs is None else blobs).select("base_id", "data").mapInArrow(run, f"base_id long, {strtable.RECORD}")
 
+    def string_counts(self, blobs: DataFrame | None = None) -> DataFrame:
+        """(base_id, records, confirmed, packed) of each string table."""
+        found = self.strings(blobs).groupBy("base_id")
+        return found.agg(F.count("*").alias("records"), F.count_if("confirmed").alias("confirmed"), F.count_if(F.col("mode") == "packed").alias("packed"))
+
     def string_page(self, base_id: int, contains: str | None = None, only_confirmed: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
         """One page of an entry's records; a text condition is case-sensitive and looks at confirmed ones only."""
         found = self.strings(self.blobs(self.entry(base_id)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,17 @@ def structs_to_registry(text: str) -> dict:
                 f = {"name": m[2], "kind": "array", "element": m[1].strip(), "count": int(m[3]) if m[3].isdigit() else m[3]}
             fields.append(f)
     return {"format": "packfile", "types": types}
+
+
+def templates(folder: str) -> dict[str, str]:
+    """Name and path of each template in a folder, in order of the names."""
+    return {p.stem: str(p) for p in sorted(Path(folder).glob("*.json")) if p.is_file()}
+
+
+def new_template(folder: str, name: str, template: dict | None = None) -> str:
+    """Writes a template, one that reads a magic unless another is given, and says where. An existing one is left alone."""
+    path = Path(folder, f"{name}.json")
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("x") as f:
+        json.dump(template or {"name": name, "endian": "little", "fields": [{"name": "magic", "type": "char", "count": 4}]}, f, indent=2)
+    return str(path)

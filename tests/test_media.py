@@ -136,3 +136,21 @@ def test_columns(spark):
     df = spark.createDataFrame([(bytearray(b"\x01\x02\xff\x80AB\x00\x07"),)], "b binary")
     got = df.select(C.u16(F.col("b"), 0).alias("h"), C.u32(F.col("b"), 0).alias("w"), C.fourcc(F.col("b"), 4).alias("f")).first()
     assert (got.h, got.w, got.f) == (0x0201, 0x80FF0201, "AB..")
+
+
+def test_previews_and_raw_files(spark, tmp_path):
+    from lodework import cli
+    from lodework.functions.preview import preview_kind
+    from lodework.functions.strtable import write_table
+    from lodework.sources.texts import new_template, templates
+
+    assert [preview_kind(d) for d in (b"", b"\x89PNGxxxxxxxx", b"strs", b"plain text", bytes(40), b"PF\4\0\0\0\x0c\0PIMG")] == ["none", "image", "strings", "text", "none", "atlas"]
+    (tmp_path / "t.bin").write_bytes(write_table(["Alpha", "beta"]))
+    got = cli.run(spark, ["strings", "--data", str(tmp_path / "t.bin")])
+    assert got["ok"] and [r["text"] for r in got["records"]] == ["Alpha", "beta"]
+    (tmp_path / "t.txt").write_bytes(b"caf\xe9 au lait")
+    assert cli.run(spark, ["preview", "--data", str(tmp_path / "t.txt")]) == {"ok": True, "kind": "text", "text": "café au lait"}
+    path = new_template(str(tmp_path / "templates"), "first")
+    assert templates(str(tmp_path / "templates")) == {"first": path}
+    with pytest.raises(FileExistsError):
+        new_template(str(tmp_path / "templates"), "first")

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__
-from lodework.plans import driver_queries
+from lodework.plans import archive_queries, driver_queries
 from lodework.streaming import drops
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -66,3 +66,14 @@ def test_streaming_catalogue(spark, tmp_path):
     assert got == {("packfile", "MODL"), ("strs", "")}
     blobs = spark.read.format("binaryFile").load(str(folder)).selectExpr("path", "content AS data")
     assert [(r.seq, r.fourcc, r.version) for r in drops.chunk_rows(blobs).collect()] == [(0, "GEOM", 1)]
+
+
+@pytest.mark.parametrize("name", sorted(archive_queries.QUERIES))
+def test_archive_query(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    df = archive_queries.QUERIES[name](spark, "")
+    got = Counter(tuple(r) for r in df.collect())
+    ran = duckdb.connect().execute(archive_queries.ORACLE[name])
+    at = [d[0] for d in ran.description]
+    assert at == df.columns
+    assert got == Counter(ran.fetchall())
