@@ -29,6 +29,8 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not getattr(scratch_dir, "own", None):
         scratch_dir.own = tempfile.TemporaryDirectory(prefix="lodework-")
         atexit.register(scratch_dir.own.cleanup)
