@@ -4,10 +4,12 @@ The archive is written to the folder that driver and executors share, once a ses
 
 from __future__ import annotations
 
+import atexit
 import os
 import struct
 import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,7 @@ def fixture(spark: SparkSession) -> str:
     path = os.path.join(where, f"lodework-fixture-{spark.sparkContext.applicationId}.dat")
     if not os.path.exists(path):
         write_archive(path, BLOBS, IDS)
+        atexit.register(lambda: Path(path).unlink(missing_ok=True))
     return path
 
 
