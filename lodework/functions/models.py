@@ -11,14 +11,17 @@ import struct
 import numpy as np
 
 from .media import vertex_layout
-from .packfile import MOST_DEPTH, MOST_ITEMS, MOST_TEXT, SCALARS, STRINGS, chunks, file_id, number, printable
+from .packfile import MOST_DEPTH, MOST_TEXT, SCALARS, STRINGS, chunks, file_id, number, printable
+
+#: numpy's letters for the numbers of struct formats.
+NUMPY = {"B": "u1", "H": "u2", "I": "u4", "Q": "u8", "f": "f4", "d": "f8"}
 
 
 class Reader:
     """Reads structs of a registry at places in some bytes. What lies beyond the end is None."""
 
-    def __init__(self, data: bytes, registry: dict, pointer: int):
-        self.data, self.types, self.pointer, self.at = data, registry.get("types", {}), pointer, 0
+    def __init__(self, data: bytes, registry: dict, pointer: int, arrays: bool = False):
+        self.data, self.types, self.pointer, self.arrays = data, registry.get("types", {}), pointer, arrays
 
     def size(self, kind: object) -> int:
         """The bytes that an inline value of this kind takes."""
@@ -59,10 +62,13 @@ class Reader:
 
     def items(self, kind: object, at: int, count: int, depth: int, indirect: bool = False) -> list:
         step, out = self.pointer if indirect else self.size(kind), []
-        for i in range(count if step and count < MOST_ITEMS else 0):
+        fits = min(count, -(-(len(self.data) - at) // step)) if step and at < len(self.data) else 0
+        if self.arrays and not indirect and isinstance(kind, str) and kind not in STRINGS and "s" not in (form := SCALARS.get(kind, "I")):
+            whole = min(count, max(len(self.data) - at, 0) // step)
+            flat = np.frombuffer(self.data, f"<{NUMPY[form[-1]]}", whole * int(form[:-1] or 1), at) if whole else np.zeros(0, np.float32)
+            return flat.reshape(whole, -1) if form[:-1] else flat
+        for i in range(fits):
             here = at + i * step
-            if here >= len(self.data):
-                break
             to = self.follow(here) if indirect else here
             out.append(None if to is None else self.value(kind, to, depth))
         return out
@@ -90,15 +96,16 @@ class Reader:
         return out
 
 
-def values(data: bytes, registry: dict) -> dict[str, dict]:
-    """A packfile's chunks by name, read by the registry; of chunks of one name the first counts."""
+def values(data: bytes, registry: dict, only: frozenset[str] | None = None, arrays: bool = False) -> dict[str, dict]:
+    """A packfile's chunks by name (`only` these), read by the registry; of chunks of one name the first counts. With `arrays`,
+    arrays of numbers are numpy's."""
     if data[:2] != b"PF" or len(data) < 12:
         return {}
     own, every = registry.get("fileTypes", {}).get(printable(data[8:12]), {}), registry.get("chunks", {})
-    r, out = Reader(data, registry, 8 if number(data, 2, 2) & 4 else 4), {}
+    r, out = Reader(data, registry, 8 if number(data, 2, 2) & 4 else 4, arrays), {}
     for at, name, version, _, header in chunks(data, "extract"):
         key = own.get(name, {}).get(str(version)) or every.get(name, {}).get(str(version))
-        if key and name not in out and (got := r.struct(key, at + header)) is not None:
+        if key and name not in out and (only is None or name in only) and (got := r.struct(key, at + header)) is not None:
             out[name] = got
     return out
 
