@@ -103,8 +103,9 @@ def values(data: bytes, registry: dict, only: frozenset[str] | None = None, arra
         return {}
     own, every = registry.get("fileTypes", {}).get(printable(data[8:12]), {}), registry.get("chunks", {})
     r, out = Reader(data, registry, 8 if number(data, 2, 2) & 4 else 4, arrays), {}
-    for at, name, version, _, header in chunks(data, "extract"):
-        key = own.get(name, {}).get(str(version)) or every.get(name, {}).get(str(version))
+    for at, shown, version, _, header in chunks(data, "extract"):
+        name = data[at : at + 4].split(b"\0", 1)[0].decode("latin-1")  # a name of three letters ends in a zero
+        key = next((v for n in (name, shown) for by in (own, every) if (v := by.get(n, {}).get(str(version)))), None)
         if key and name not in out and (only is None or name in only) and (got := r.struct(key, at + header)) is not None:
             out[name] = got
     return out

@@ -63,30 +63,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(columns: str, *rows: tuple) -> Callable:
+def query(columns: str, *rows: tuple, archive: Callable[[SparkSession], str] | None = None, queries: dict = QUERIES, oracle: dict = ORACLE) -> Callable:
     """columns: names and SQL types; rows: what the query has to give."""
     names, kinds = zip(*(c.split(" ") for c in columns.split(", ")), strict=True)
-    shown = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    shown = ", ".join("(" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
     sql = f"SELECT {', '.join(f'{n}::{k} AS {n}' for n, k in zip(names, kinds, strict=True))} FROM (VALUES {shown}) v({', '.join(names)})"
 
     def keep(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Archive(spark, fixture(spark))).select(*names)
-        ORACLE[f.__name__] = sql
+        queries[f.__name__] = lambda spark, sf_dir: f(Archive(spark, (archive or fixture)(spark))).select(*names)
+        oracle[f.__name__] = sql
         return f
 
     return keep
 
 
-def fixture(spark: SparkSession) -> str:
+def fixture(spark: SparkSession, name: str = "fixture", blobs: list[tuple[bytes, int]] | None = None, ids: list[tuple[int, int]] | None = None) -> str:
     """The archive's path, in the folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder and ":" in folder and not folder.startswith("file:"):
         raise ValueError("an archive has to be in a folder that is mounted everywhere")
     where = "/" + folder.removeprefix("file:").lstrip("/") if folder else tempfile.gettempdir()
     os.makedirs(where, exist_ok=True)
-    path = os.path.join(where, f"lodework-fixture-{spark.sparkContext.applicationId}.dat")
+    path = os.path.join(where, f"lodework-{name}-{spark.sparkContext.applicationId}.dat")
     if not os.path.exists(path):
-        write_archive(path, BLOBS, IDS)
+        write_archive(path, blobs or BLOBS, ids or IDS)
         atexit.register(lambda: Path(path).unlink(missing_ok=True))
     return path
 

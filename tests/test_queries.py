@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__
-from lodework.plans import archive_queries, driver_queries
+from lodework.plans import archive_queries, driver_queries, scene_queries
 from lodework.streaming import drops
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -68,12 +68,15 @@ def test_streaming_catalogue(spark, tmp_path):
     assert [(r.seq, r.fourcc, r.version) for r in drops.chunk_rows(blobs).collect()] == [(0, "GEOM", 1)]
 
 
-@pytest.mark.parametrize("name", sorted(archive_queries.QUERIES))
+ARCHIVE = {**archive_queries.QUERIES, **scene_queries.QUERIES}
+
+
+@pytest.mark.parametrize("name", sorted(ARCHIVE))
 def test_archive_query(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    df = archive_queries.QUERIES[name](spark, "")
+    df = ARCHIVE[name](spark, "")
     got = Counter(tuple(r) for r in df.collect())
-    ran = duckdb.connect().execute(archive_queries.ORACLE[name])
+    ran = duckdb.connect().execute({**archive_queries.ORACLE, **scene_queries.ORACLE}[name])
     at = [d[0] for d in ran.description]
     assert at == df.columns
     assert got == Counter(ran.fetchall())
