@@ -362,23 +362,21 @@ def _seeds(text: np.ndarray, larger: np.ndarray, places: np.ndarray, store: Stor
 
 
 class RangeMin:
+    """Minima of ranges, from those of all runs of a power of two, which are laid end to end."""
+
     def __init__(self, a: np.ndarray):
-        self.levels = [a]
-        n = 1
-        while 2 * n <= len(a):
-            p = self.levels[-1]
-            self.levels.append(np.minimum(p[:-n], p[n:]))
-            n *= 2
+        runs = 1 << np.arange(max(len(a), 1).bit_length())
+        ends = np.cumsum(len(a) + 1 - runs)
+        self.runs, self.starts, self.flat = runs, np.r_[0, ends[:-1]], np.empty(ends[-1], a.dtype)
+        self.flat[: len(a)] = a
+        for run, before, start, end in zip(runs[1:] // 2, self.starts, self.starts[1:], ends[1:], strict=False):
+            np.minimum(self.flat[before : start - run], self.flat[before + run : start], out=self.flat[start:end])
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Minima over [lo, hi], both inside and lo <= hi."""
         k = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), self.levels[0].dtype)
-        for level in np.flatnonzero(np.bincount(k)):
-            at = k == level
-            t = self.levels[level]
-            out[at] = np.minimum(t[lo[at]], t[hi[at] + 1 - (1 << int(level))])
-        return out
+        start = self.starts[k]
+        return np.minimum(self.flat[start + lo], self.flat[start + hi + 1 - self.runs[k]])
 
 
 class _Pusher:
@@ -430,6 +428,9 @@ class _Pusher:
 class Prefixes:
     """Common prefixes of suffixes of a text, which end at a separator, to `depth` characters."""
 
+    #: The least numbers of one to eight bytes.
+    STEPS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
+
     def __init__(self, padded: np.ndarray, n: int, depth: int):
         self.words, self.n, self.depth = np.ndarray((n,), ">u8", padded, strides=(1,)), n, depth
 
@@ -444,7 +445,7 @@ class Prefixes:
             low = np.uint64(0x7F7F7F7F7F7F7F7F)
             # bits set from the first character on that differs or is a separator
             odd = (x ^ y) | ~(((x & low) + low) | x | low)
-            same = sum((odd < np.uint64(1 << s)).astype(np.int64) for s in range(56, -1, -8))
+            same = 8 - np.searchsorted(self.STEPS, odd, "right")
             out[live] += same
             live = live[same == 8]
         # a word may reach beyond the text's end
