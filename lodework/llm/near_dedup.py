@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_table, maybe_in, table, tidy
+from .common import Scratch, bit_table, mapped, maybe_in, table
 from .components import components
 
 BANDS, ROWS = 30, 5
@@ -103,7 +103,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
             made = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "cls", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary")
 
 
 def sketch_floor(percent: int) -> int:
@@ -123,7 +123,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 m = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3)]
                 yield batch.select([0, 1]).filter(pa.array((m[0] == m[1]).sum(axis=1) >= least))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(tidy(run), "u long, v long")
+    return mapped(pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv"), run, "u long, v long")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(100 * inter >= percent * (len(a) + len(b) - inter))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return near.select("u", "v", "tu", "tv").mapInArrow(tidy(run), "u long, v long")
+    return mapped(near.select("u", "v", "tu", "tv"), run, "u long, v long")
 
 
 class _Block:
@@ -270,7 +270,7 @@ def _in_blocks(rows: DataFrame, kind: type, what: str, out: str, keyed: bool, **
         yield batch_of(got)
 
     dealt = rows.repartition("band", "part").sortWithinPartitions("band", "part", F.desc("own"))
-    return dealt.select("band", "part", "doc_id", "component", "stays", "own", what).mapInArrow(tidy(run), out)
+    return mapped(dealt.select("band", "part", "doc_id", "component", "stays", "own", what), run, out)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 2048, grams: int = 1 << 20) -> DataFrame:
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
 
     A hot bucket's rows are dealt to parts of about `block` rows and `grams` shingles."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(spark, "near", workers=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.write(_signed(docs, shingle))
     sound = signed.where("cls IS NOT NULL AND doc_id IS NOT NULL")

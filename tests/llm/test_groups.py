@@ -1,13 +1,15 @@
 """Operators that compare rows: conversations, top-k, near copies, repeats, and the pipeline."""
 
 import hashlib
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodework.llm import chat, induced_sort, near_dedup, suffix_dedup, topk
-from lodework.llm.common import Scratch, bit_table, maybe_in
+from lodework.llm.common import Scratch, bit_table, in_few_files, mapped, maybe_in
 from lodework.llm.components import components
 
 
@@ -332,3 +334,33 @@ def test_near_duplicates_in_several_parts(spark, parts):
     want, _ = exact_components(texts, 2, 80)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(pdocs(spark, texts), shingle=2, **parts).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_scratch_tables_that_workers_write(spark):
+    rows = [(i if i % 7 else None, f"\u00e4{i}" if i % 3 else None, bytes([i % 256]), [i, -i] if i % 5 else [], i % 2 == 0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i long, s string, b binary, a array<long>, x boolean")
+    scratch = Scratch(spark, "test", workers=True)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select([0, 1])
+
+    def plain(made):
+        return sorted(map(repr, (tuple(r) for r in made.collect())))
+
+    for made in (df.repartition(7), df.repartition(30).where("i = 3"), df.limit(0), mapped(df.repartition(5), run, "i long, s string")):
+        got = scratch.write(made)
+        assert got.schema == made.schema and plain(got) == plain(made)
+        # no checksums, markers or attempts are left: Spark's writer starts a process for the mode of each such file
+        assert all(f.startswith("part-") for f in os.listdir(f"{scratch.folder}/{scratch.count}"))
+    scratch.drop(got)
+    assert not os.path.exists(f"{scratch.folder}/{scratch.count}")
+
+
+def test_results_come_in_few_files(spark):
+    many = spark.range(0, 1000, 1, 500)
+    few = in_few_files(many)
+    assert few.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism and few.count() == 1000
+    assert in_few_files(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3
+    docs = pdocs(spark, ["x" * 10, "the same passage of more than fifty bytes, twice over " * 2] * 2).repartition(400)
+    assert suffix_dedup.remove_repeats(docs).rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
