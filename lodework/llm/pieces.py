@@ -9,7 +9,7 @@ by position, the edges are relaxed from left to right, all segments side by side
 The models here are of the BPE kind, where the wanted path is that of the merges, not the one of least cost. A path
 is the merges' result exactly if each piece on it is its own encoding and each two neighbours stay two when
 encoded together. So relaxing keeps, at each place, the one edge whose piece stands beside the one kept where it
-starts; whether two pieces stay two is found once and remembered.
+starts; whether two pieces stay two is found once and remembered, and the last answers are looked up by slots.
 
 Characters outside the vocabulary become their UTF-8 bytes' pieces. Special pieces' names in a text are plain text.
 
@@ -25,6 +25,7 @@ others are carried along. An empty table gives no row.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -86,10 +87,13 @@ def check_model(path: str) -> None:
         raise ValueError(f"{path}: normalisation that isn't followed here: {', '.join(odd)}")
 
 
-#: What remembered segments may take, in bytes; remembered pairs may take a third of that.
+#: What remembered segments may take, in bytes; remembered pairs may take a third of that, besides their slots.
 CACHE = 96 << 20
 #: So many suffixes are searched at once.
 PART = 1 << 19
+#: Slots for pairs of pieces, a power of two: 9 MB.
+SLOTS = 1 << 20
+_SPREAD = np.int64(-7046029254386353131)
 
 
 class Pieces:
@@ -124,7 +128,9 @@ class Pieces:
         self.code_ids = np.array([self.id[c] for c in self.codes], np.int64)
         self.code_len = np.fromiter(map(len, self.codes), np.int64, len(self.codes))
         self.width = -(-int(self.code_len.max()) // 8) * 8
-        self.pairs, self.stay = np.zeros(1, np.int64), np.zeros(1, bool)
+        self.pairs: dict[int, bool] = {}
+        # the pairs looked up last, each in the slot of its hash
+        self.slots, self.stay = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
 
     @staticmethod
     def _chars(code: bytes) -> list[bytes]:
@@ -132,33 +138,39 @@ class Pieces:
 
     def merged(self, code: bytes) -> list[bytes]:
         """The merges' result: again and again the best-scored pair, the leftmost of equals."""
-        parts, score = self._chars(code), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return self._merged(self._chars(code))
+
+    def _merged(self, parts: list[bytes]) -> list[bytes]:
+        score, none = self.score.get, -np.inf
+        scores = [score(a + b, none) for a, b in itertools.pairwise(parts)]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def _stays(self, keys: np.ndarray) -> np.ndarray:
         """For each left id * 2**32 + right id: do the two stay two?"""
-        place = np.searchsorted(self.pairs, keys).clip(max=len(self.pairs) - 1)
-        new = self.pairs[place] != keys
-        if new.any():
-            fresh = np.unique(keys[new])
-            got = [self.merged(a + b) == [a, b] for a, b in ((self.text[k >> 32], self.text[k & 0xFFFFFFFF]) for k in fresh.tolist())]
-            if 9 * len(self.pairs) > self.most // 3:
-                self.pairs, self.stay = np.zeros(1, np.int64), np.zeros(1, bool)
-                return self._stays(keys)
-            both, flags = np.concatenate([self.pairs, fresh]), np.concatenate([self.stay, np.array(got)])
-            order = np.argsort(both, kind="stable")
-            self.pairs, self.stay = both[order], flags[order]
-            place = np.searchsorted(self.pairs, keys)
-        return self.stay[place]
+        slot = (keys * _SPREAD).view(np.uint64) >> np.uint64(64 - SLOTS.bit_length() + 1)
+        stay = self.stay[slot]
+        at = np.flatnonzero(self.slots[slot] != keys)
+        if len(at):
+            fresh, back = np.unique(keys[at], return_inverse=True)
+            if 100 * len(self.pairs) > self.most // 3:
+                self.pairs.clear()
+            known, got = self.pairs, np.zeros(len(fresh), bool)
+            for k, key in enumerate(fresh.tolist()):
+                if (stays := known.get(key)) is None:
+                    a, b = self.text[key >> 32], self.text[key & 0xFFFFFFFF]
+                    stays = known[key] = self._merged(self._chars(a) + self._chars(b)) == [a, b]
+                got[k] = stays
+            stay[at] = got[back]
+            self.slots[slot[at]], self.stay[slot[at]] = keys[at], stay[at]
+        return stay
 
     def learn(self, segments: list[bytes]) -> dict[bytes, bytes]:
         """The ids of each segment, as little-endian 32-bit integers."""
@@ -187,7 +199,7 @@ class Pieces:
         one[at[size == width[at]]] = True
         odd = begin[~one[begin]]
         at, token, size = np.concatenate([at, odd]), np.concatenate([token, np.full(len(odd), -2)]), np.concatenate([size, width[odd]])
-        owner = np.searchsorted(starts, at, "right") - 1
+        owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes + 1)[at]
         end = at + size - starts[owner]
         by = np.argsort(end, kind="stable")
         at, token, size, owner, end = at[by], token[by], size[by], owner[by], end[by]
@@ -204,24 +216,39 @@ class Pieces:
                 fits[ask] = self._stays((left[ask] << 32) | t[ask])
             k = np.flatnonzero(fits)
             last[s[k] + size[a:b][k]], length[s[k] + size[a:b][k]] = t[k], size[a:b][k]
-        out: list[list[int]] = [[] for _ in segments]
-        alive, here = np.arange(len(segments)), ends.copy()
-        alive, here = alive[sizes > 0], here[sizes > 0]
-        lost = set()
+        # back from each segment's end, a step of all segments at a time
+        alive = np.flatnonzero(sizes)
+        here = ends[alive]
+        steps, lost = [], [np.zeros(0, np.int64)]
         while len(alive):
-            for i, t, p, n in zip(alive.tolist(), last[here].tolist(), here.tolist(), length[here].tolist(), strict=True):
-                if t >= 0:
-                    out[i].append(t)
-                elif n:
-                    out[i] += [self.bytes.get(x, self.unknown) for x in text[p - n : p][::-1].tolist()]
-                else:
-                    lost.add(i)
-            go = (here - length[here] > starts[alive]) & (length[here] > 0)
-            here = here - length[here]
+            n, t = length[here], last[here]
+            lost.append(alive[(n == 0) | (t < 0)])  # no path by neighbours alone, or one with characters that are no piece
+            steps.append((alive, t))
+            here = here - n
+            go = (here > starts[alive]) & (n > 0) & (t >= 0)
             alive, here = alive[go], here[go]
-        for i in lost:  # no path by neighbours alone
-            out[i] = [x for part in self.merged(segments[i]) for x in ([self.id[part]] if part in self.id else [self.bytes.get(b, self.unknown) for b in part])][::-1]
-        return {s: np.array(ids[::-1], "<u4").tobytes() for s, ids in zip(segments, out, strict=True)}
+        who, ids = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in reversed(steps))]) for k in (0, 1))
+        by = np.argsort(who, kind="stable")
+        raw = ids[by].astype("<u4").tobytes()
+        bounds = 4 * np.r_[0, np.cumsum(np.bincount(who, minlength=len(segments)))]
+        out = [raw[a:b] for a, b in itertools.pairwise(bounds.tolist())]
+        for i in np.concatenate(lost).tolist():
+            out[i] = self._spelled(segments[i], last, length, int(starts[i]), int(ends[i]))
+        return dict(zip(segments, out, strict=True))
+
+    def _spelled(self, segment: bytes, last: np.ndarray, length: np.ndarray, start: int, here: int) -> bytes:
+        """The ids of a segment whose path has characters that are no piece, or that has none by neighbours alone."""
+        ids: list[int] = []
+        end = here
+        while here > start:
+            n, t = int(length[here]), int(last[here])
+            if not n:
+                parts = self.merged(segment)
+                return np.array([x for p in parts for x in ([self.id[p]] if p in self.id else [self.bytes.get(b, self.unknown) for b in p])], "<u4").tobytes()
+            at = len(segment) - (end - here)
+            ids += [t] if t >= 0 else [self.bytes.get(x, self.unknown) for x in segment[at - n : at][::-1]]
+            here -= n
+        return np.array(ids[::-1], "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text. A blank comes before the first character, as the model asks."""

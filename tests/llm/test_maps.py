@@ -379,3 +379,27 @@ def test_pieces_of_long_segments_and_small_caches():
     path = own.merged
     code = pieces._coded(" hello")
     assert [own.id[p] for p in path(code)] == lib.encode("hello")
+
+
+def test_pieces_merge_with_few_lookups():
+    own = pieces.Pieces(pieces.model_path())
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    code = pieces._coded(" " + "internationalisation" * 20)
+    want = own.merged(code)
+    own.score = Counted(own.score)
+    assert own.merged(code) == want and b"".join(want) == code
+    assert own.score.asked <= 3 * len(code)
+
+
+def test_pieces_whose_pairs_share_a_slot(monkeypatch):
+    texts = ["the other " * 3, "mixed 中文 and \x07 signs", "", None, "unbelievable internationalisation"]
+    want = pieces.Pieces(pieces.model_path()).encode(texts)
+    monkeypatch.setattr(pieces, "SLOTS", 2)
+    assert pieces.Pieces(pieces.model_path()).encode(texts) == want
