@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     members = scratch.write(bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "least", "many"))
     stars = scratch.write(members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct())
     near = scratch.write(_near(stars, sketches, percent))
-    links = scratch.write(_linked(near, docs, shingle, percent).unionAll(ties))
+    # written apart: a worker that writes what another one has made would be a second one in each task
+    links = scratch.write(_linked(near, docs, shingle, percent)).unionAll(scratch.write(ties))
     comps = scratch.write(components(links, scratch))
     # Buckets of three and more that still hold several components: what the comparison with the smallest has left open.
     several = members.where("many > 2").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

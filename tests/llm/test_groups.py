@@ -2,13 +2,15 @@
 
 import hashlib
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodework.llm import chat, induced_sort, near_dedup, suffix_dedup, topk
+from lodework.llm import chat, common, induced_sort, near_dedup, suffix_dedup, topk
 from lodework.llm.common import Scratch, bit_table, in_few_files, mapped, maybe_in
 from lodework.llm.components import components
 
@@ -364,3 +366,56 @@ def test_results_come_in_few_files(spark):
     assert in_few_files(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == 3
     docs = pdocs(spark, ["x" * 10, "the same passage of more than fifty bytes, twice over " * 2] * 2).repartition(400)
     assert suffix_dedup.remove_repeats(docs).rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_one_worker_a_task(spark, monkeypatch):
+    """A worker that writes what another one of its task has made is a second process, which stays for all later steps."""
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = pdocs(spark, [text, text + " x", "y " + text, "of its own " * 9, text])
+    asked, write = [], common._written_by_workers
+    monkeypatch.setattr(common, "_written_by_workers", lambda df, *a: (asked.append(getattr(df, "_made", (df,))[0]._jdf.queryExecution().optimizedPlan().toString()), write(df, *a)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+    assert len(asked) > 5 and not any("MapInArrow" in plan for plan in asked)
+
+
+def test_small_answers_to_large_batches(spark):
+    """However many rows Spark sends at once, workers answer in small batches."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([None, "x"] * 5000)], names=["doc_id", "text"])
+    got = list(suffix_dedup.slices(batch))
+    assert max(b.num_rows for b in got) <= 512 and pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    rows = [r for b in suffix_dedup._packed_anchors(pdocs(spark, [os.urandom(300).hex() for _ in range(50)]), 300, 1000).toArrow().to_batches() for r in b.to_pylist()]
+    assert {r["bucket"] for r in rows} <= set(range(300)) and sum(len(r["keys"]) for r in rows) // 6 == sum(len(r["who"]) for r in rows) // 2 > 1000
+
+
+GROWN = """
+import time
+from pyspark.sql import SparkSession
+from lodework.llm.common import release
+spark = SparkSession.builder.master("local-cluster[1,2,1200]").config("spark.executor.memory", "900m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+import psutil
+for _ in range(3):
+    spark.range(0, 3_000_000, 1, 4).selectExpr("id", "repeat(cast(hash(id) as string), 6) s").repartition(2, "s").sortWithinPartitions("s").write.format("noop").mode("overwrite").save()
+own = next(p for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline()))
+before = own.memory_info().rss
+release(spark)
+time.sleep(1)
+print("MB", before >> 20, own.memory_info().rss >> 20)
+"""
+
+
+def test_executors_give_back_their_heap(tmp_path):
+    import importlib.util
+
+    home = tmp_path / "home"  # executors' logs go to `work` in it
+    (home / "work").mkdir(parents=True)
+    found = os.path.dirname(importlib.util.find_spec("pyspark").origin)
+    for name in os.listdir(found):
+        if name != "work":
+            (home / name).symlink_to(os.path.join(found, name))
+    path = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), os.environ.get("PYTHONPATH", "")])
+    env = os.environ | {"PYTHONPATH": path, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, "-c", GROWN], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    before, after = map(int, out.stdout.split("MB ")[1].split())
+    assert after < 0.75 * before, (before, after)
