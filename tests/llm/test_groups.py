@@ -368,6 +368,15 @@ def test_results_come_in_few_files(spark):
     assert suffix_dedup.remove_repeats(docs).rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
 
 
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    scratch = Scratch(spark, "cleaned", workers=True)
+    before = files()
+    made = scratch.write(spark.range(1000).repartition(3, "id"))
+    assert files() <= before and made.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_one_worker_a_task(spark, monkeypatch):
     """A worker that writes what another one of its task has made is a second process, which stays for all later steps."""
     text = " ".join(f"w{k}" for k in range(200))
