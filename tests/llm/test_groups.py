@@ -377,6 +377,17 @@ def test_shuffle_files_go_once_a_table_is_written(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_repeats_are_out_when_the_result_is_there(spark, tmp_path):
+    """No worker is left to run, on batches of any size, where a result is written; what it was made from is gone."""
+    texts = ["x" * 10, "the same passage of more than fifty bytes, twice over " * 2, None] * 2
+    (pdocs(spark, texts)).write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (suffix_dedup.op10(spark, str(tmp_path)), suffix_dedup.remove_repeats(pdocs(spark, texts))):
+        assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+        own = os.path.dirname(os.path.dirname(got.inputFiles()[0])).removeprefix("file://")
+        assert len(os.listdir(own)) == 1
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3, 5]  # 4 has nothing left
+
+
 def test_one_worker_a_task(spark, monkeypatch):
     """A worker that writes what another one of its task has made is a second process, which stays for all later steps."""
     text = " ".join(f"w{k}" for k in range(200))
